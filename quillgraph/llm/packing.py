@@ -7,9 +7,11 @@ then finds its slot from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +21,77 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import raw_text, slices
 from quillgraph.plans.lineage import cut
 
-#: Token ids of so many different words are remembered by a worker, of words no longer than so many bytes.
-REMEMBERED, LONGEST = 400_000, 64
+#: Token ids of so many different words, and of words without marks at their ends, are remembered by a
+#: worker, of words no longer than so many bytes.
+REMEMBERED, LONGEST = 600_000, 64
+#: Marks that may follow a word; after a letter or digit the tokenizer always cuts before them.
+MARKS = b".,;:!?*&%$#"
 #: Pieces of one length that are ranked together, about.
 RANKED = 10_000
 
 
 class WordIds(dict):
-    """Token ids of a word between white space, as little-endian bytes; the tokenizer never merges across it."""
+    """Token ids of words between white space, as little-endian bytes; the tokenizer never merges across it.
+
+    A word's lower-cased stem and the marks after it have their ids apart, and all stems that are
+    new are encoded in one call, as one text.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.tokenizer, self.stems, self.brief = tokenizer, {}, []
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        counts = np.searchsorted(starts, ends, side="left") * 4
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+
+    @staticmethod
+    def stem(word: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in word:  # a special token's text is told by its case
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word) or not stem:
+            return word, b""
+        last = stem[-1:]
+        ends_well = last.isalnum() if last < b"\x80" else stem.decode("utf-8", "replace")[-1].isalpha()
+        return (stem, word[len(stem) :]) if ends_well else (word, b"")
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that every one of ``words`` is here."""
+        for w in self.brief:
+            del self[w]
+        new = words.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = words
+        cut = {w: self.stem(w) for w in new}
+        wanted = {part for both in cut.values() for part in both if part}
+        unknown = list(wanted.difference(self.stems))
+        if len(self.stems) + len(unknown) > REMEMBERED:
+            self.stems.clear()
+            unknown = list(wanted)
+        self.stems.update(zip(unknown, self.encode(unknown), strict=True) if unknown else ())
+        stems = self.stems
+        for w, (stem, marks) in cut.items():
+            self[w] = stems[stem] + stems[marks] if marks else stems[stem]
+        self.brief = [w for w in new if len(w) > LONGEST]
+        for part in [x for x in unknown if len(x) > LONGEST]:
+            del stems[part]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's known words; they outlast a task, since workers are used again."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,18 +102,18 @@ def pieces(docs: DataFrame, tokenizer_path: str | None, capacity: int = 4096, en
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         path = tokenizer_path
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        known, end, step = WordIds(Tokenizer.from_file(path)), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        known, end, step = word_ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in slices(batches):
             rows: list[tuple] = []
-            for at, raw in enumerate(batch.column(1)):
-                ids = b"".join(map(known.__getitem__, raw.as_py().split())) + end
+            texts = [raw.as_py().split() for raw in batch.column(1)]
+            known.learn(set().union(*texts))
+            for at, words in enumerate(texts):
+                ids = b"".join(map(known.__getitem__, words)) + end
                 for i, first in enumerate(range(0, len(ids), step)):
                     part = ids[first : first + step]
                     rows.append((at, i, first // 4, len(part) // 4, zlib.crc32(part)))
