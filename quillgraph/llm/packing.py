@@ -7,8 +7,11 @@ then finds its slot from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,68 +24,83 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import raw_text, slices
 from quillgraph.plans.lineage import cut
 
-#: Token ids of so many different words, and of words without marks at their ends, are remembered by a
-#: worker, of words no longer than so many bytes.
-REMEMBERED, LONGEST = 600_000, 64
+#: Token ids of so many different words are remembered by a worker, of words no longer than so many bytes.
+REMEMBERED, LONGEST = 300_000, 64
 #: Marks that may follow a word; after a letter or digit the tokenizer always cuts before them.
 MARKS = b".,;:!?*&%$#"
+#: A byte that no UTF-8 text has, in place of the vocabulary's word end.
+END = b"\xff"
 #: Pieces of one length that are ranked together, about.
 RANKED = 10_000
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def word_merges(tokenizer):
+    """The vocabulary as ranked byte strings for words that are one run of letters; None if it isn't of that kind.
+
+    Such a vocabulary numbers its tokens in the order of their merges, so merging by token number is
+    merging by its rules.
+    """
+    parts = json.loads(tokenizer.to_str())
+    model, vocab = parts["model"], parts["model"].get("vocab", {})
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    first = len(vocab) - len(merges)
+    kinds = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or "Lowercase" not in kinds or any(vocab.get(m) != first + i for i, m in enumerate(merges) if m in vocab and not m.startswith("<|")):
+        return None
+    import tiktoken
+
+    of, ranks = byte_alphabet(), {}
+    for token, i in vocab.items():
+        if not token.startswith("<|"):
+            body = token.removesuffix("</w>")
+            ranks[bytes(of[c] for c in body) + (END if body != token else b"")] = i
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class WordIds(dict):
     """Token ids of words between white space, as little-endian bytes; the tokenizer never merges across it.
 
-    A word's lower-cased stem and the marks after it have their ids apart, and all stems that are
-    new are encoded in one call, as one text.
+    A word of Latin letters is merged directly, and the marks after it apart; any other is left to the tokenizer.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.stems, self.brief = tokenizer, {}, []
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        counts = np.searchsorted(starts, ends, side="left") * 4
-        ids = np.array(found.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+        self.tokenizer, self.merge = tokenizer, word_merges(tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.ids(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, word: bytes) -> bytes:
+        if self.merge is not None:
+            stem = word.rstrip(MARKS)
+            low = self.letters(stem)
+            if low:
+                ids = array("I", self.merge(low + END)).tobytes()
+                return ids + self[word[len(stem) :]] if len(stem) < len(word) else ids
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     @staticmethod
-    def stem(word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:  # a special token's text is told by its case
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(MARKS)
-        if len(stem) == len(word) or not stem:
-            return word, b""
-        last = stem[-1:]
-        ends_well = last.isalnum() if last < b"\x80" else stem.decode("utf-8", "replace")[-1].isalpha()
-        return (stem, word[len(stem) :]) if ends_well else (word, b"")
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that every one of ``words`` is here."""
-        for w in self.brief:
-            del self[w]
-        new = words.difference(self)
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = words
-        cut = {w: self.stem(w) for w in new}
-        wanted = {part for both in cut.values() for part in both if part}
-        unknown = list(wanted.difference(self.stems))
-        if len(self.stems) + len(unknown) > REMEMBERED:
-            self.stems.clear()
-            unknown = list(wanted)
-        self.stems.update(zip(unknown, self.encode(unknown), strict=True) if unknown else ())
-        stems = self.stems
-        for w, (stem, marks) in cut.items():
-            self[w] = stems[stem] + stems[marks] if marks else stems[stem]
-        self.brief = [w for w in new if len(w) > LONGEST]
-        for part in [x for x in unknown if len(x) > LONGEST]:
-            del stems[part]
+    def letters(stem: bytes) -> bytes | None:
+        """A run of Latin letters as the tokenizer lower-cases it; None for anything else."""
+        if stem.isalpha():  # ASCII
+            return stem.lower()
+        if stem.isascii():
+            return None
+        text = stem.decode("utf-8", "replace")
+        low = "".join(map(str.lower, text))
+        return low.encode() if low.isalpha() and max(low) < "\u0250" and text.isalpha() and unicodedata.is_normalized("NFC", text) else None
 
 
 @lru_cache(maxsize=1)
@@ -110,10 +128,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None, capacity: int = 4096, en
         known, end, step = word_ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in slices(batches):
             rows: list[tuple] = []
-            texts = [raw.as_py().split() for raw in batch.column(1)]
-            known.learn(set().union(*texts))
-            for at, words in enumerate(texts):
-                ids = b"".join(map(known.__getitem__, words)) + end
+            for at, raw in enumerate(batch.column(1)):
+                ids = b"".join(map(known.__getitem__, raw.as_py().split())) + end
                 for i, first in enumerate(range(0, len(ids), step)):
                     part = ids[first : first + step]
                     rows.append((at, i, first // 4, len(part) // 4, zlib.crc32(part)))
