@@ -84,7 +84,8 @@ def keyword_search(nodes: DataFrame, queries: DataFrame, limit: int = 10, prefix
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("n_name") + F.col("n_content")) / F.col("avg")))
     parts = tf.join(df, "q").join(sizes, "id").join(F.broadcast(total)).select("id", "q", weight.alias("w"))
-    found = asked.join(parts, "q").groupBy("query_id", "id").agg(F.sum("w").alias("bm25"))
+    # rounded, so that the order of a distributed sum never decides between equal documents
+    found = asked.join(parts, "q").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("bm25"))
     if types:
         found = found.join(nodes.where(F.col("type").isin(*types)).select("id"), "id", "left_semi")
     best = top(found, limit, score="bm25")
@@ -119,7 +120,7 @@ def fuse(signals: list[tuple[str, DataFrame, float]]) -> DataFrame:
     total = F.lit(0.0)
     for name, _, weight in signals:
         total = total + F.col(name) * weight
-    return wide.withColumn("score", total)
+    return wide.withColumn("score", F.round(total, 9))
 
 
 def hybrid_search(

@@ -165,7 +165,7 @@ def bm25_sql(k: int, match: str = "x.term = a.q") -> str:
     dfs AS (SELECT q, count(*) AS df FROM tfs GROUP BY q), tot AS (SELECT count(*) AS n, avg(len(n) + len(c)) AS avg FROM toks),
     wts AS (SELECT t.id, t.q, greatest(ln((tot.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(k.n) + len(k.c)) / tot.avg)) AS w
             FROM tfs t JOIN dfs USING (q) JOIN toks k ON k.id = t.id, tot),
-    ranked AS (SELECT query_id, id, sum(w) AS bm25 FROM asked JOIN wts USING (q) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(w) DESC, id) <= {k}),
+    ranked AS (SELECT query_id, id, round(sum(w), 9) AS bm25 FROM asked JOIN wts USING (q) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w), 9) DESC, id) <= {k}),
     keyword AS (SELECT query_id, id, bm25, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN 0.3 + 0.6 * (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0.9 END AS score
                 FROM ranked WINDOW w AS (PARTITION BY query_id))"""
 
@@ -180,7 +180,7 @@ HYBRID_SQL = f"""WITH {V.TEXT_NODES_SQL}, {V.TEXT_EDGES_SQL}, {V.TEXT_QUERIES_SQ
     {bm25_sql(16)}, {ACTIVATION_SQL.format(edges='text_edges', nodes='text_nodes', seeds='seeds', k=16)},
     graph AS (SELECT * FROM activated), signals AS ({_scaled('vector')} UNION ALL {_scaled('keyword')} UNION ALL {_scaled('graph')}),
     wide AS (SELECT query_id, id, coalesce(max(s) FILTER (signal = 'vector'), 0) AS vector, coalesce(max(s) FILTER (signal = 'keyword'), 0) AS keyword, coalesce(max(s) FILTER (signal = 'graph'), 0) AS graph FROM signals GROUP BY query_id, id),
-    fused AS (SELECT *, vector * 0.5 + keyword * 0.3 + graph * 0.2 AS score FROM wide),
+    fused AS (SELECT *, round(vector * 0.5 + keyword * 0.3 + graph * 0.2, 9) AS score FROM wide),
     hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 12)"""
 
 QUERIES = {
