@@ -3,7 +3,8 @@
 Codes of 64 bits are cut into m segments of about log2(N) bits, each with a table. A query probes
 its segments at growing radii. Once radius r is done for a segments and r - 1 for the others, every
 code within m * r + a - 1 bits has been met (Norouzi et al., 2012), so a query whose k-th verified
-distance is no more than that is finished and drops out.
+distance is no more than that is finished and drops out. Until then it only takes what its k-th
+distance so far allows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.simhash import segments_of
 from quillgraph.plans.lineage import cut
 
-#: Radii up to this are probed in all segments at once; later ones one segment at a time.
+#: Up to this radius all segments are probed at once, from then on one at a time.
 TOGETHER = 2
 
 
@@ -52,15 +53,15 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
     keys = cut(coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("key"))).where(F.col("n") <= k).select("code", "key", "n"))
     codes = keys.where("n = 1").select("code", F.col("key").alias("least"))
     size = codes.count()
-    segments = max(1, min(32, math.ceil(64 / max(2, math.floor(math.log2(max(size, 2)) + 0.5)))))
+    segments = max(1, min(32, math.ceil(64 / max(2, math.floor(math.log2(max(size, 2)))))))
     cuts = [(at, width) for at, width, _ in segments_of(0, segments)]
 
     def value(code: str, at: int, width: int) -> Column:
         return F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << width) - 1))
 
     asked = coded.where("asks").select(F.col("code").alias("q")).distinct()
-    active, best = cut(asked), None
-    steps = [[(s, r) for r in range(TOGETHER + 1) for s in range(segments)]]
+    active, best = cut(asked.withColumn("bound", F.lit(64))), None
+    steps = [[(s, r) for s in range(segments)] for r in range(TOGETHER + 1)]
     steps += [[(s, r)] for r in range(TOGETHER + 1, max(w for _, w in cuts) + 1) for s in range(segments)]
     for step in steps:
         found = None
@@ -70,9 +71,10 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
             if not radii:
                 continue
             flips = F.explode(F.concat(*(_masks(width, r) for r in radii))).alias("flip")
-            probes = active.select("q", value("q", at, width).alias("own"), flips).select("q", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
+            probes = active.select("q", "bound", value("q", at, width).alias("own"), flips).select("q", "bound", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
             index = codes.select("code", "least", value("code", at, width).alias("val"))
-            met = probes.join(index, "val").select("q", "code", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+            distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+            met = probes.join(index, "val").where(distance <= F.col("bound")).select("q", "code", "least", distance.alias("distance"))
             found = met if found is None else found.unionAll(met)
         if found is not None:
             found = _best(found.distinct(), k).drop("rank")
@@ -80,8 +82,8 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
         last_segment, radius = step[-1]
         covered = segments * radius + last_segment  # m * r + a - 1 with a = last_segment + 1
         kth = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        enough = kth.where((F.col("n") >= k) & (F.col("kth") <= covered))
-        active = cut(active.join(enough, "q", "left_anti"))
+        kth = kth.withColumn("bound", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(64))).select("q", "bound")
+        active = cut(active.select("q").join(kth, "q", "left").select("q", F.coalesce("bound", F.lit(64)).alias("bound")).where((F.col("bound") > covered)))
         if covered >= 64 or active.isEmpty():
             break
     near = best.select("q", "code", "distance").join(keys, "code")
