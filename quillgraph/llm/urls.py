@@ -114,7 +114,7 @@ def boost(counts: list[tuple[tuple[int, ...], float, float]], trees: int = 24, d
     """
     rows = [(b, neg + pos, pos) for b, neg, pos in counts]
     n, pos = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    prior = math.log((pos + 0.5) / (n - pos + 0.5))
+    prior = math.log((pos + 0.5) / (n - pos + 1.0))  # nothing known: allow
     if not rows or pos == 0 or pos == n:
         return prior, []
     score, out = [prior] * len(rows), []
