@@ -192,6 +192,18 @@ def overlap_judge(summary: str, original: str) -> float:
 JUDGES = {"overlap": overlap_judge}
 
 
+def evaluate(context: list[dict], user: str, original: str, responder=None, judge=overlap_judge) -> dict:
+    """How well a folded context serves the next request: an answer is made from it and held against the original one.
+
+    ``responder`` takes ``(system, user)`` as a model does; the stand-in answers with the context's words.
+    """
+    shown = "\n".join(f"[{m['role']}]: {m['content']}" for m in context)
+    answer = responder(shown, user)["text"] if responder else shown
+    kept, asked = judge(answer, original), judge(shown, user)
+    scores = {"retention": (kept - 1) / 4, "relevance": (asked - 1) / 4, "mean": ((kept - 1) / 4 + (asked - 1) / 4) / 2}
+    return scores | {"normalised": scores["mean"] * 4 + 1}
+
+
 # --- running them on Spark --------------------------------------------------------------------------------------------
 
 
@@ -213,6 +225,30 @@ def fold_sessions(messages: DataFrame, strategy: str, model: str = "extractive",
     return messages.groupBy("session_id").applyInPandas(run, MESSAGE_SCHEMA + ", plan string")
 
 
+def evaluate_folds(messages: DataFrame, budget: int, strategy: str = "s5", model: str = "extractive", **options) -> DataFrame:
+    """For each session cut before ``budget`` tokens and folded: scores on the next user message and the answer to it."""
+    fold, call = STRATEGIES[strategy], MODELS[model]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows, session, total, at = _messages(group), group["session_id"].iloc[0], 0, None
+        for i, m in enumerate(rows):
+            total += m["tokens"]
+            if total >= budget:
+                at = i
+                break
+        found = []
+        if at is not None:
+            user = next((i for i in range(at, len(rows)) if rows[i]["role"] == "user"), None)
+            answer = next((i for i in range(user + 1, len(rows)) if rows[i]["role"] == "assistant"), None) if user is not None else None
+            if answer is not None:
+                folded, _ = fold(rows[:at], call, **options)
+                s = evaluate(folded, rows[user]["content"], rows[answer]["content"])
+                found.append((session, at, s["retention"], s["relevance"], s["mean"], s["normalised"]))
+        return pd.DataFrame(found, columns=["session_id", "cut", "retention", "relevance", "mean", "normalised"])
+
+    return messages.groupBy("session_id").applyInPandas(run, "session_id string, cut long, retention double, relevance double, mean double, normalised double")
+
+
 def replay_session(rows: list[dict], threshold: int, fold, call, carried: tuple[list[dict], int] | None = None, **options):
     """Append message after message; a buffer of ``threshold`` tokens or more is replaced by its fold.
 

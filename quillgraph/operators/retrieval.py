@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import normalise_name, query_tokens
+from quillgraph.functions.text import normalise_name, phrasings, query_tokens
 from quillgraph.functions.vector import top_k
-from quillgraph.operators.graph import spreading_activation
+from quillgraph.operators.graph import demote_superseded, spreading_activation
 
 #: BM25's usual constants; a name counts ten times as much as content.
 K1, B, NAME_WEIGHT = 1.2, 0.75, 10.0
@@ -178,3 +178,24 @@ def dedup_decisions(new: DataFrame, known: DataFrame, skip: float = 0.97, warn:
     near = top(near, 1).select(F.col("query_id").alias("id"), F.lit(2).alias("level"), F.when(F.col("score") >= skip, "skip").otherwise("warn").alias("decision"), F.col("id").alias("matched"), "score")
     found = exact.unionAll(name).unionAll(near).groupBy("id").agg(F.min_by(F.struct("decision", "matched", "score"), "level").alias("d"))
     return new.select("id").join(found, "id", "left").select("id", F.coalesce("d.decision", F.lit("add")).alias("decision"), "d.matched", "d.score")
+
+
+def search(
+    nodes: DataFrame, edges: DataFrame, queries: DataFrame, embed, limit: int = 10, multi: bool = True, types: list | None = None,
+    since: int | None = None, until: int | None = None, **weights,
+) -> DataFrame:
+    """End to end for ``(query_id, query)``: phrasings, hybrid search of each, best of them, demotion, filter, ranks.
+
+    ``embed`` adds ``embedding`` for a ``query`` column. Returns ``(query_id, id, score, phrasing, superseded,
+    rank, near_miss)``; scores of superseded nodes count a tenth. Nothing is changed: feedback is the store's.
+    """
+    each = F.posexplode(phrasings(F.col("query"))) if multi else F.posexplode(F.array("query"))
+    asked = queries.select("query_id", each.alias("phrasing", "query")).withColumn("query_id", F.struct("query_id", "phrasing"))
+    found = hybrid_search(nodes, edges, embed(asked.select("query_id", "query")), limit=limit, since=since, until=until, **weights)
+    found = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.phrasing").alias("phrasing"), "id", "score")
+    best = demote_superseded(best_phrasing(found), edges)
+    if types:
+        best = best.join(nodes.where(F.col("type").isin(*types)).select("id"), "id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + -(-limit // 2))
+    return best.select("query_id", "id", "score", "phrasing", "superseded", "rank", (F.col("rank") > limit).alias("near_miss"))

@@ -91,6 +91,16 @@ def mean_abs_delta(s, d):
     return V.runs(s, d).groupBy("strategy").agg(R(S.mean_abs_delta("judge_score", "human_score")).alias("delta"), R(S.at_least(3, F.avg("judge_score"))).alias("mean"))
 
 
+def ratings_by_position(s, d):
+    """The n-th scored run of a strategy beside the n-th of another: a join on explicit ordinals."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("strategy").orderBy("event_id"))
+    r = V.runs(s, d).where("judge_score is not null").withColumn("n", nth)
+    a, b = r.where("strategy = 's3'").select("n", F.col("judge_score").alias("a")), r.where("strategy = 's9'").select("n", F.col("judge_score").alias("b"))
+    return a.join(b, "n").select("n", R("a").alias("a"), R("b").alias("b"))
+
+
 def dimension_means(s, d):
     return S.dimension_means(V.runs(s, d), ["judge_score", "human_score", "tokens_out"]).select("dimension", R("mean").alias("mean"), "n")
 
@@ -151,6 +161,8 @@ QUERIES = {
     "attractor": (attractor, f"{W} SELECT strategy, round(1 - regr_slope(judge_score, human_score), 6) AS strength, round(regr_intercept(judge_score, human_score) / (1 - regr_slope(judge_score, human_score)), 6) AS position FROM runs GROUP BY strategy"),
     "mean_sd": (mean_sd, f"{W} SELECT strategy, count(judge_score) AS n, round(avg(judge_score), 6) AS mean, round(stddev_pop(judge_score), 6) AS sd, round(min(judge_score), 6) AS least, round(max(judge_score), 6) AS most FROM runs GROUP BY strategy"),
     "mean_abs_delta": (mean_abs_delta, f"{W} SELECT strategy, round(avg(abs(judge_score - human_score)), 6) AS delta, round(avg(judge_score), 6) AS mean FROM runs GROUP BY strategy"),
+    "ratings_by_position": (ratings_by_position, f"""{W}, r AS (SELECT strategy, judge_score, row_number() OVER (PARTITION BY strategy ORDER BY event_id) AS n FROM runs WHERE judge_score IS NOT NULL)
+        SELECT CAST(a.n AS INT) AS n, round(a.judge_score, 6) AS a, round(b.judge_score, 6) AS b FROM r a JOIN r b ON a.n = b.n WHERE a.strategy = 's3' AND b.strategy = 's9'"""),
     "dimension_means": (dimension_means, f"""{W} SELECT 'judge_score' AS dimension, round(avg(judge_score), 6) AS mean, count(judge_score) AS n FROM runs UNION ALL SELECT 'human_score', round(avg(human_score), 6), count(*) FROM runs
         UNION ALL SELECT 'tokens_out', round(avg(tokens_out), 6), count(*) FROM runs"""),
     "row_means": (row_means, f"{W} SELECT event_id, round(CASE WHEN judge_score IS NULL THEN human_score ELSE (judge_score + human_score) / 2 END, 6) AS mean, round(human_score / 7 * 4 + 1, 6) AS scaled FROM runs"),

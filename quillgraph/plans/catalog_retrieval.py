@@ -101,6 +101,13 @@ def multi_phrasing(s, d):
     return retrieval.best_phrasing(found).select("query_id", "id", R("score").alias("score"), "phrasing")
 
 
+def search_end_to_end(s, d):
+    """Phrasings of the benchmark's first words, each with a hashed vector, over documents with hashed vectors."""
+    n = models.embed(V.text_nodes(s, d).drop("embedding"), "name")
+    q = V.text_queries(s, d).select("query_id", F.substring("query", 1, 60).alias("query"))
+    return retrieval.search(n, V.text_edges(s, d), q, lambda df: models.embed(df, "query"), limit=5)
+
+
 def query_phrasings(s, d):
     q = V.table(s, d, "benchmark").select("item_id", F.posexplode(T.phrasings(F.col("text"))).alias("n", "phrasing"))
     return q.select("item_id", "n", F.md5("phrasing").alias("phrasing"))
@@ -208,6 +215,7 @@ QUERIES = {
         b AS (SELECT k.query_id, min(CASE WHEN a.type = b.type THEN rank END) AS best FROM k JOIN vectors a ON a.id = k.query_id JOIN vectors b ON b.id = k.id GROUP BY k.query_id)
         SELECT 'vector' AS setting, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(CASE WHEN best <= 5 THEN 1.0 / best ELSE 0 END), 6) AS mrr_at_k, count(*) FILTER (best <= 5) AS top_k, count(*) AS queries FROM b"""),
     "multi_phrasing": (multi_phrasing, None),
+    "search_end_to_end": (search_end_to_end, None),
     "query_phrasings": (query_phrasings, f"""WITH w AS (SELECT item_id, text, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s-]', '', 'g'), '\\s+'), lambda x: x NOT IN ({PHRASE_STOP_SQL}) AND length(x) > 1) AS k FROM benchmark),
         p AS (SELECT item_id, [text] || CASE WHEN len(k) >= 2 AND array_to_string(k, ' ') <> lower(trim(text)) THEN [array_to_string(k, ' ')] ELSE [] END || CASE WHEN len(k) >= 3 THEN [array_to_string(list_reverse(k), ' ')] ELSE [] END AS ps FROM w)
         SELECT item_id, CAST(i - 1 AS INT) AS n, md5(ps[i]) AS phrasing FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)"""),

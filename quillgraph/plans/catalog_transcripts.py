@@ -149,6 +149,10 @@ def replay_fold(s, d):
     return fold.replay(V.messages(s, d), 600, "s5", keep_recent=1)
 
 
+def fold_evaluation(s, d):
+    return fold.evaluate_folds(V.messages(s, d), 300, "s5", keep_recent=1)
+
+
 def replay_summary(s, d):
     return fold.replay_summary(replay_fold(s, d))
 
@@ -198,4 +202,5 @@ QUERIES = {
     "fold_bounded": (fold_bounded, None),
     "replay_fold": (replay_fold, None),
     "replay_summary": (replay_summary, None),
+    "fold_evaluation": (fold_evaluation, None),
 }

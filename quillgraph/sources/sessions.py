@@ -24,6 +24,21 @@ def block_text(found: Column, summary: Column) -> Column:
     return F.coalesce(F.nullif(joined, F.lit("")), summary, F.lit(""))
 
 
+def serialize(found: Column) -> Column:
+    """Blocks as text for a judge: calls with up to 500 characters of arguments, results with up to 300."""
+
+    def line(b: Column) -> Column:
+        args = F.substring(F.coalesce(F.to_json(F.coalesce(b["arguments"], b["input"])), F.lit("{}")), 1, 500)
+        result = F.coalesce(F.try_variant_get(b["content"], "$", "string"), b["output"], b["text"], F.lit(""))
+        return (
+            F.when(b["type"] == "text", b["text"])
+            .when(b["type"].isin("toolCall", "tool_use"), F.concat(F.lit("[tool: "), F.coalesce(b["name"], b["toolName"], F.lit("?")), F.lit("] "), args))
+            .when(b["type"].isin("toolResult", "tool_result"), F.concat(F.lit("[result] "), F.substring(result, 1, 300)))
+        )
+
+    return F.array_join(F.filter(F.transform(found, line), lambda x: x.isNotNull()), "\n")
+
+
 def token_estimate(text: Column, found: Column) -> Column:
     """ceil(text / 4) + ceil(call arguments / 4) and ceil(thinking / 4) of each block + 10."""
     size = lambda v: F.ceil(F.coalesce(F.length(F.to_json(v)), F.lit(0)) / 4)
