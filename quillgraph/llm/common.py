@@ -27,29 +27,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()  # workers are used again; what one task needed should not stay
 
 
 #: Bits of a Bloom filter; its broadcast is 2 MB whatever the input. A full filter lets every row through.
 FILTER_BITS = 1 << 24
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not among ``wanted``'s; none that is gets lost.
+class Maybe:
+    """A Bloom filter over a column of keys: says of every wanted key that it is in, and of few others."""
 
-    Meant before a join that would otherwise shuffle long texts only to drop them.
-    """
-    at = lambda shift: F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = (
-        wanted.select(F.explode(F.array(at(0), at(32))).alias("i")).groupBy(F.shiftright("i", 5).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).collect()
-    )  # at most FILTER_BITS / 32 rows
-    filled = np.zeros(FILTER_BITS // 32, np.uint32)
-    if words:
-        filled[[r["word"] for r in words]] = [r["bits"] for r in words]
-    sent = rows.sparkSession.sparkContext.broadcast(filled.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint32)
+    def __init__(self, wanted: DataFrame, key: str):
+        at = lambda shift: F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND(F.lit(FILTER_BITS - 1))
+        words = (
+            wanted.select(F.explode(F.array(at(0), at(32))).alias("i")).groupBy(F.shiftright("i", 5).alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).collect()
+        )  # at most FILTER_BITS / 32 rows
+        filled = np.zeros(FILTER_BITS // 32, np.uint32)
+        if words:
+            filled[[r["word"] for r in words]] = [r["bits"] for r in words]
+        self.sent = wanted.sparkSession.sparkContext.broadcast(filled.tobytes())
+
+    def kept(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches whose last column is the key's xxhash64, without most unwanted rows and without that column."""
+        bits = np.frombuffer(self.sent.value, np.uint32)
         for batch in batches:
             h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
             keep = np.ones(len(h), bool)
@@ -58,4 +59,10 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
                 keep &= (bits[i >> np.uint64(5)] >> (i & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return rows.withColumn("_h", F.xxhash64(key)).mapInArrow(run, rows.schema)
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``wanted``'s; none that is gets lost.
+
+    Meant before a join that would otherwise shuffle long texts only to drop them.
+    """
+    return rows.withColumn("_h", F.xxhash64(key)).mapInArrow(Maybe(wanted, key).kept, rows.schema)

@@ -25,7 +25,7 @@ from quillgraph.llm.common import raw_text, slices
 from quillgraph.plans.lineage import cut
 
 #: Token ids of so many different words are remembered by a worker, of words no longer than so many bytes.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Marks that may follow a word; after a letter or digit the tokenizer always cuts before them.
 MARKS = b".,;:!?*&%$#"
 #: A byte that no UTF-8 text has, in place of the vocabulary's word end.

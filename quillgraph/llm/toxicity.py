@@ -26,10 +26,12 @@ WORDS = re.compile(r"[^\W\d_]+")
 SAMPLE = 1500
 #: Words on either side of a labelled token that a training window has, and the windows used at most.
 SIDE, WINDOWS = 6, 6000
-#: A feature is in the model if so many toxic documents have it and its log-odds are at least this.
-LEAST_DOCS, LEAST_ODDS = 3, 2.5
+#: A feature is in the model if so many toxic documents have it, and this share of them, and its log-odds are at least this.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 2.5
+#: Words less likely to be toxic than this do not count towards a document's expected number.
+LEAST_MARGINAL = 0.3
 #: Words whose weights a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 64_000
 
 
 def features(word: str) -> list[str]:
@@ -118,12 +120,12 @@ class Scores(dict):
 
 
 def evidence(model: Crf, words: list[str], known: Scores) -> tuple[float, float, list[tuple[int, float]]]:
-    """Expected toxic words, the largest marginal, and the words over one half with their marginals."""
+    """Expected toxic words among the likelier ones, the largest marginal, and the words over one half with their marginals."""
     scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
     total, most, spans = 0.0, 0.0, []
     for lo, hi in relevant(scores):
         p = model.marginals(scores[lo:hi])
-        total += float(p[p > 0.05].sum())
+        total += float(p[p > LEAST_MARGINAL].sum())
         most = max(most, float(p.max()))
         spans += [(lo + int(i), float(p[i])) for i in np.flatnonzero(p > 0.5)]
     return total, most, spans
@@ -144,7 +146,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
     n1, n0 = len(docs[0]), len(docs[1])
     odds = {}
     for f, c in seen[0].items():
-        if c >= LEAST_DOCS:
+        if c >= max(LEAST_DOCS, LEAST_SHARE * n1):
             value = math.log((c + 0.5) / (n1 + 1)) - math.log((seen[1][f] + 0.5) / (n0 + 1))
             if value >= LEAST_ODDS and seen[1][f] * 8 <= c:
                 odds[f] = value
