@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm import fingerprints, passages, simhash
+from quillgraph.llm import fingerprints, neardup, passages, simhash
 
 from .conftest import ODD
 
@@ -105,6 +105,7 @@ def test_keep_one(make):
 def test_empty_tables(make):
     none = make([])
     assert simhash.near_duplicates(none).count() == 0
+    assert neardup.near_duplicates(none).count() == 0
     assert passages.shared_passages(none).count() == 0
     assert fingerprints.compare_with_next(none).count() == 0
     assert fingerprints.groups(none).count() == 0
@@ -209,3 +210,57 @@ def test_prefilter_keeps_all_wanted(spark, n):
     kept = maybe_in(rows, "id", wanted)
     assert wanted.join(kept, "id", "left_anti").count() == 0 and kept.count() < wanted.count() + 50
     assert maybe_in(rows, "id", wanted.limit(0)).count() == 0
+
+
+def shingle_sets(rows):
+    out = {}
+    for i, t, _ in rows:
+        w = (t or "").lower().encode().split()
+        out[i] = {b" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("big", [32, 3])
+def test_verified_groups(make, monkeypatch, big):
+    """No document joins a group without a link of 0.8; copies always do; most near copies do."""
+    monkeypatch.setattr(neardup, "BIG", big)
+    rng = random.Random(8)
+    rows, n = [r for r in ODD if r[0] != 8], 100
+    for _ in range(20):
+        base = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(300)]
+        for _ in range(rng.randrange(2, 7)):
+            edited = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                edited[rng.randrange(len(edited))] = rng.choice(WORDS)
+            rows.append((n, " ".join(edited), "s"))
+            n += 1
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make(rows, extra=True)).collect()}
+    sets = shingle_sets(rows)
+    assert set(got) == set(sets)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links += [(a, b) for a in sets for b in sets if a < b and not sets[a] and not sets[b]]
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert all(find(i) == find(c) for i, c in got.items())
+    texts = {}
+    for i, t, _ in sorted(rows):
+        assert got[texts.setdefault(" ".join((t or "").lower().split()), i)] == got[i]
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+
+
+def test_sketch_follows_similarity():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    for shared in (500, 800, 900):
+        a, b = pool[:shared], pool
+        differ = sum(int(x).bit_count() for x in (neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64))
+        assert abs(differ - neardup.SKETCH * (1 - shared / 1000) / 2) < 25
+    assert len(neardup.sketch(np.zeros(0, np.uint64))) == neardup.SKETCH // 64

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillgraph.llm import mixing, pii, simhash
+from quillgraph.llm import mixing, neardup, pii
 from quillgraph.llm.queries import ORACLES, QUERIES
 
 
@@ -38,7 +38,7 @@ def test_toxic_documents_go(stages, spark, sf_dir):
 
 
 def test_one_of_each_group_stays(stages):
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(stages[1]).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(stages[1]).collect()}
     left = [r["doc_id"] for r in stages[2].collect()]
     assert sorted(left) == sorted(set(groups.values()))
 
