@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import string
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +190,3 @@ def most_rows() -> int:
     """The number of bin tuples there can be, whatever the input: what training may collect at most."""
     return math.prod(len(c) + 1 for c in CUTS.values())
 
-
-def all_bins() -> list[tuple[int, ...]]:
-    return list(product(*(range(len(c) + 1) for c in CUTS.values())))
