@@ -41,11 +41,10 @@ class Maybe:
         at = lambda shift: F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND(F.lit(FILTER_BITS - 1))
         words = (
             wanted.select(F.explode(F.array(at(0), at(32))).alias("i")).groupBy(F.shiftright("i", 5).alias("word"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).collect()
-        )  # at most FILTER_BITS / 32 rows
+            .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).toArrow()
+        )  # at most FILTER_BITS / 32 rows, as numbers
         filled = np.zeros(FILTER_BITS // 32, np.uint32)
-        if words:
-            filled[[r["word"] for r in words]] = [r["bits"] for r in words]
+        filled[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
         self.sent = wanted.sparkSession.sparkContext.broadcast(filled.tobytes())
 
     def kept(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

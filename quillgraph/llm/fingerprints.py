@@ -71,11 +71,11 @@ def shared_filter(found: DataFrame) -> bytes | None:
         .groupBy(F.floor(F.col("i") / 32).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(i % 32 as int)))").alias("bits"))
     )
-    rows = words.collect()  # at most FILTER_BITS / 32 rows
-    if not rows:
+    rows = words.toArrow()  # at most FILTER_BITS / 32 rows, as numbers
+    if not rows.num_rows:
         return None
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out.tobytes()
 
 
