@@ -27,7 +27,7 @@ from quillgraph.plans.lineage import cut
 #: filter lets rows through that need no comparison and never holds one back.
 FILTER_BITS = 1 << 23
 #: Bytes of compressed texts that a task remembers to send each one once.
-REMEMBERED = 64 << 20
+REMEMBERED = 16 << 20
 #: Key ranges for each shuffle partition, so that a partition's share of them is even.
 RANGES = 16
 
