@@ -264,3 +264,28 @@ def test_sketch_follows_similarity():
         differ = sum(int(x).bit_count() for x in (neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64))
         assert abs(differ - neardup.SKETCH * (1 - shared / 1000) / 2) < 25
     assert len(neardup.sketch(np.zeros(0, np.uint64))) == neardup.SKETCH // 64
+
+
+def test_block_edits_are_all_linked(make):
+    """Blocks of new words put in, put after or taken out: groups are those of all pairs at 0.8 or more."""
+    rng = random.Random(21)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)]
+    rows, n = [r for r in ODD if r[0] != 8], 100
+    line = text(12)
+    for i in range(40):
+        base = text(rng.randrange(60, 400)) + (line if i % 2 else [])
+        block, at = text(len(base) * (4 + i % 5) // 40), rng.randrange(len(base))
+        for edited in (base, base + block, base[:at] + block + base[at:], base[: len(base) - len(block)]):
+            rows.append((n, " ".join(edited), "s"))
+            n += 1
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make(rows, extra=True)).collect()}
+    sets = shingle_sets(rows)
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    parent = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and alike(sets[a], sets[b]) and parent[a] != parent[b]:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {i: low if c == high else c for i, c in parent.items()}
+    assert got == parent and sum(i != c for i, c in parent.items()) > 80
