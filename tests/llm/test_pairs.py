@@ -289,3 +289,34 @@ def test_block_edits_are_all_linked(make):
                 low, high = sorted((parent[a], parent[b]))
                 parent = {i: low if c == high else c for i, c in parent.items()}
     assert got == parent and sum(i != c for i, c in parent.items()) > 80
+
+
+def test_passage_of_middle_documents_is_linked(make):
+    """Documents that have its halves apart come before, between and after two that have a passage whole."""
+    rng = random.Random(22)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)]
+    docs = {}
+    for at in range(0, 120, 10):
+        one, two = text(45), text(45)
+        for i in range(1, 8):
+            whole = text(20) + one + two + text(20)
+            docs[at + i] = whole if i in (3, 5) else text(30) + one + text(150) + two + text(30)
+    got = {r["doc_id"]: r for r in passages.shared_passages(make([(i, " ".join(w), "s") for i, w in docs.items()])).collect()}
+    for i in range(5, 120, 10):
+        assert any(p["other_id"] == i - 2 and min(p["end"], 110) - max(p["start"], 20) >= 50 for p in got[i]["passages"])
+
+
+def test_edited_passage_with_one_shared_seed(make):
+    """Passages with a word changed every nine that have any seed in common are found, be it a single one."""
+    rng = random.Random(23)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)]
+    docs, due = {}, []
+    for i in range(0, 120, 2):
+        near = text(70)
+        changed = [f"new{i}x{k}" if k % 9 == 8 else w for k, w in enumerate(near)]
+        docs[i], docs[i + 1] = text(60) + near + text(60), text(60) + changed + text(60)
+        of = [set(passages.seeds(passages.word_hashes([w.encode() for w in docs[j]], {}))[0].tolist()) for j in (i, i + 1)]
+        if of[0] & of[1]:
+            due.append(i + 1)
+    got = {r["doc_id"]: r for r in passages.shared_passages(make([(i, " ".join(w), "s") for i, w in docs.items()])).collect()}
+    assert len(due) > 30 and all(any(p["other_id"] == i - 1 for p in got[i]["passages"]) for i in due)
