@@ -320,3 +320,21 @@ def test_edited_passage_with_one_shared_seed(make):
             due.append(i + 1)
     got = {r["doc_id"]: r for r in passages.shared_passages(make([(i, " ".join(w), "s") for i, w in docs.items()])).collect()}
     assert len(due) > 30 and all(any(p["other_id"] == i - 1 for p in got[i]["passages"]) for i in due)
+
+
+def test_chain_goes_on_past_a_far_better_one():
+    """Chains score what dynamic programming over all runs does, and a long run too far back hides none that is near."""
+    long = [(i, i) for i in range(0, 195, 5)]
+    short = [(500 + 20 * k, 500 + 21 * k) for k in range(6)]
+    assert any(len(c) == 6 for c in passages.chains(long + short))
+    rng = random.Random(24)
+    gap, cost = passages.MAX_GAP, passages.GAP_COST
+    for _ in range(200):
+        found = sorted(passages.runs([(rng.randrange(0, 400), rng.randrange(0, 400)) for _ in range(30)]))
+        best = []
+        for i, (a, b, n) in enumerate(found):
+            skips = [(best[j], a - x - m, b - y - m) for j, (x, y, m) in enumerate(found[:i])]
+            best.append(n + max([0.0] + [s - cost * (p + q) for s, p, q in skips if -3 <= p <= gap and -3 <= q <= gap]))
+        chain = passages.chains([(a, b) for a, b, _ in found] + [(a + n - 6, b + n - 6) for a, b, n in found])[0]
+        skipped = sum(q[0] - p[0] - p[2] + q[1] - p[1] - p[2] for p, q in zip(chain, chain[1:], strict=False))
+        assert abs(sum(r[2] for r in chain) - cost * skipped - max(best)) < 1e-6
