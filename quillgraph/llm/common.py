@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.plans.lineage import Scratch
+
 #: A word, wherever a contract counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,3 +67,25 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     Meant before a join that would otherwise shuffle long texts only to drop them.
     """
     return rows.withColumn("_h", F.xxhash64(key)).mapInArrow(Maybe(wanted, key).kept, rows.schema)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart and orders them as ``key`` does.
+
+    That is the key itself where no row shares it and none lacks it. Otherwise rows are written
+    with a number: by key, rows without one last, rows of one key by a hash of their text.
+    """
+    shared = docs.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1 or key is null")
+    if shared.isEmpty():
+        return docs, key
+    row = free_name(docs, "_row")
+    ordered = docs.orderBy(F.col(key).asc_nulls_last(), F.xxhash64(text))
+    return scratch.keep(ordered.withColumn(row, F.monotonically_increasing_id())), row
