@@ -35,6 +35,16 @@ def _matrix(vectors: list, size: int) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)[:, None]
 
 
+def _dense(column: pa.Array, size: int) -> np.ndarray:
+    """Unit rows of an Arrow list column, as ``_matrix`` makes them; lists of one length are taken as they lie."""
+    starts = column.offsets.to_numpy()
+    if not column.null_count and not column.values.null_count and len(starts) > 1 and (np.diff(starts) == size).all():
+        out = column.values.to_numpy()[starts[0] : starts[-1]].reshape(-1, size).astype(np.float64)
+        norms = np.linalg.norm(out, axis=1)
+        return out / np.where(norms > 0, norms, 1)[:, None]
+    return _matrix(column.to_pylist(), size)
+
+
 def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
     """``(query, key, score)``: the exact ``k`` best of ``nodes`` for each query, cosine at least ``min_score``; ties by key.
 
@@ -62,9 +72,9 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
             for batch in batches:
                 for lo in range(0, batch.num_rows, ROW_BLOCK):
                     part = batch.slice(lo, ROW_BLOCK)
-                    keys, vectors = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    keys = part.column(0).to_pylist()
                     for n, (at, m) in asked.items():
-                        scores = m @ _matrix(vectors, n).T
+                        scores = m @ _dense(part.column(1), n).T
                         for j, i in enumerate(at):
                             row = scores[j]
                             hit = np.flatnonzero(row >= min_score)
@@ -107,9 +117,8 @@ def similar_pairs(nodes: DataFrame, threshold: float, key: str = "id", vector: s
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        keys, vectors, own = table.column("k").to_pylist(), table.column("v").to_pylist(), np.array(table.column("own").to_pylist())
-        size = max((len(v) for v in vectors), default=0)
-        m = _matrix(vectors, size)
+        keys, vectors, own = table.column("k").to_pylist(), table.column("v").combine_chunks(), table.column("own").to_numpy()
+        m = _dense(vectors, int(np.diff(vectors.offsets.to_numpy()).max(initial=0)))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         x, y = np.nonzero(m[left] @ m[right].T >= threshold - 1e-12)
         rows = set()

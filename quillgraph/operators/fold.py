@@ -15,6 +15,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# The role of a summary, how its rows and a collapsed result are told, and how much of a long text a model is shown.
+SUMMARY_ROLE = "compactionSummary"
+TOPIC_ROW = "[topic: {name}] {summary}"
+STATUS_ROW = "[{status}-topic] {name}: {summary}"
+PENDING_ROW = "[pending-action] User requested: {request}\nAssistant state: {state}"
+RESULT_ROW = "{call}\n[result] {result}"
+RESULT_SHOWN, TEXT_LIMIT, TEXT_SHOWN, TEXT_MARK = 500, 2000, 1500, "...[truncated]"
+
 MESSAGE_SCHEMA = "session_id string, idx long, role string, content string, tokens long"
 
 
@@ -23,7 +31,7 @@ def tokens_of(text: str) -> int:
 
 
 def summary_row(text: str) -> dict:
-    return {"role": "compactionSummary", "content": text, "tokens": tokens_of(text)}
+    return {"role": SUMMARY_ROLE, "content": text, "tokens": tokens_of(text)}
 
 
 # --- models -----------------------------------------------------------------------------------------------------------
@@ -114,7 +122,7 @@ def topic_segmentation(messages: list[dict], model, min_topic: int = 3, **_) ->
         if t["status"] == "active":
             out += messages[t["range"][0] : min(t["range"][1], len(messages) - 1) + 1]
         else:
-            out.append(summary_row(f"[topic: {t['name']}] {t['summary']}"))
+            out.append(summary_row(TOPIC_ROW.format(name=t["name"], summary=t["summary"])))
     return out, _used({"action": "topic-segmentation", "topics": len(found["topics"])}, reply)
 
 
@@ -140,7 +148,7 @@ def collapse_pairs(messages: list[dict]) -> list[dict]:
     out: list[dict] = []
     for m in messages:
         if m["role"] == "toolResult" and out and out[-1]["role"] == "assistant" and out[-1].get("tool_name"):
-            text = f"{out[-1]['content']}\n[result] {m['content'][:500]}"
+            text = RESULT_ROW.format(call=out[-1]["content"], result=m["content"][:RESULT_SHOWN])
             out[-1] = out[-1] | {"content": text, "tokens": tokens_of(text)}
         else:
             out.append(m)
@@ -158,15 +166,15 @@ def topic_constrained(messages: list[dict], model, keep_recent: int = 5, max_kee
         return _noop(messages, "too few messages")
     size = sum(m["tokens"] for m in messages[:at])
     budget = min(math.floor(size * 0.25 + 0.5), budget_cap or math.inf)
-    shown = _shown(collapse_pairs(messages[:at]), lambda m: _clip(m["content"], 2000, 1500, "...[truncated]"))
+    shown = _shown(collapse_pairs(messages[:at]), lambda m: _clip(m["content"], TEXT_LIMIT, TEXT_SHOWN, TEXT_MARK))
     reply = model(f"Segment into topics and compress to {budget} tokens. JSON.", (f"Previous summary: {previous}\n" if previous else "") + shown)
     found = extract_json(reply["text"])
     if not isinstance(found, dict) or not isinstance(found.get("topics"), list):
         return messages, _used({"action": "parse-error"}, reply)
-    rows = [summary_row(f"[{'active' if t['status'] == 'active' else 'completed'}-topic] {t['name']}: {t['summary']}") for t in found["topics"]]
+    rows = [summary_row(STATUS_ROW.format(status="active" if t["status"] == "active" else "completed", name=t["name"], summary=t["summary"])) for t in found["topics"]]
     if found.get("pendingAction"):
         p = found["pendingAction"]
-        rows.append(summary_row(f"[pending-action] User requested: {p.get('lastUserRequest') or 'unknown'}\nAssistant state: {p.get('assistantState') or 'unknown'}"))
+        rows.append(summary_row(PENDING_ROW.format(request=p.get("lastUserRequest") or "unknown", state=p.get("assistantState") or "unknown")))
     done = sum(t["status"] == "completed" for t in found["topics"])
     plan = {"action": "topic-constrained", "topics": len(found["topics"]), "completed": done, "active": sum(t["status"] == "active" for t in found["topics"]), "budget": budget}
     return rows + messages[at:], _used(plan, reply)
@@ -249,9 +257,10 @@ def evaluate_folds(messages: DataFrame, budget: int, strategy: str = "s5", model
     return messages.groupBy("session_id").applyInPandas(run, "session_id string, cut long, retention double, relevance double, mean double, normalised double")
 
 
-def replay_session(rows: list[dict], threshold: int, fold, call, carried: tuple[list[dict], int] | None = None, **options):
+def replay_session(rows: list[dict], threshold: int, fold, call, carried: tuple[list[dict], int] | None = None, carry: bool = False, **options):
     """Append message after message; a buffer of ``threshold`` tokens or more is replaced by its fold.
 
+    With ``carry`` each fold is told the summary that the buffer holds from the fold before.
     Yields ``(turn, before, after, tokens_in, tokens_out)`` and leaves the buffer in ``carried``.
     """
     buffer, turn = carried or ([], 0)
@@ -259,6 +268,8 @@ def replay_session(rows: list[dict], threshold: int, fold, call, carried: tuple[
         buffer.append(m)
         before = sum(x["tokens"] for x in buffer)
         if before >= threshold:
+            if carry:
+                options["previous"] = "\n".join(x["content"] for x in buffer if x["role"] == SUMMARY_ROLE) or None
             folded, plan = fold(list(buffer), call, **options)
             buffer[:] = folded
             yield turn, before, sum(x["tokens"] for x in folded), plan["tokens_in"], plan["tokens_out"]

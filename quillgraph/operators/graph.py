@@ -65,45 +65,65 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(sizes, "component").select("id", "component", "size")
 
 
-def strongest_pairs(edges: DataFrame) -> DataFrame:
-    """One row for each unordered pair with edges: the largest weight, at least 1 as activation counts it."""
+def passing(nodes: DataFrame, edges: DataFrame, ids: DataFrame, hop_decay: float, order: str | None = None) -> DataFrame:
+    """``(id, other, factor[, nth])``: what each of ``ids`` passes on, from the edges at ``ids`` alone.
+
+    The factor is ``hop_decay / damp * edge weight * receiver's weight``: ``damp`` is ln(degree + 1)
+    for more than one edge, a pair counts its strongest edge and at least 1, and receiver's weights
+    of 0 or null count 0.5. ``nth`` is the least ``order`` of a pair's edges.
+    """
+    edges = edges.select("source", "target", "type", "weight", *([order] if order else []))
+    there = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "weight", *([order] if order else []))
+    back = edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "weight", *([order] if order else []))
+    near = there.unionAll(back).join(ids.select("id").distinct(), "id", "left_semi")
     weight = F.greatest(F.lit(1.0), F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)))
-    pairs = edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max(weight).alias("w"))
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionAll(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
+    pairs = near.groupBy("id", "other").agg(F.max(weight).alias("w"), F.count("*").alias("n"), *([F.min(order).alias("nth")] if order else []))
+    degrees = pairs.groupBy("id").agg(F.sum("n").alias("degree"))
+    damp = F.when(F.col("degree") > 1, F.ln(F.col("degree") + 1)).otherwise(1.0)
+    own = nodes.select(F.col("id").alias("other"), F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(0.5)).alias("node_weight"))
+    found = pairs.where("id <> other").join(degrees, "id").join(own, "other")
+    return found.select("id", "other", (F.lit(hop_decay) * F.col("w") * F.col("node_weight") / damp).alias("factor"), *(["nth"] if order else []))
 
 
 def spreading_activation(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, hop_decay: float = 0.5, max_results: int = 20, min_score: float = 0.01
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, hop_decay: float = 0.5, max_results: int = 20, min_score: float = 0.01, order: str | None = None
 ) -> DataFrame:
     """``(query_id, id, score, hops, path)``: activation that spreads from seeds ``(query_id, id)``.
 
-    A node passes on ``score / damp * hop_decay * edge weight * receiver's weight``, where ``damp`` is
-    ln(degree + 1) for more than one edge, edge weights count at least 1, and receiver's weights of 0 or
-    null count 0.5. A node keeps the largest activation that reached it and passes it on once, in
-    the hop in which it was first reached. Seeds neither receive activation nor are returned.
+    A node passes on ``score * factor`` (see ``passing``). A node keeps the largest activation that
+    reached it and passes it on once, in the hop in which it was first reached. Seeds neither receive
+    activation nor are returned.
+
+    With ``order``, the name of a numeric column of both ``seeds`` and ``edges``, steps are taken in
+    that order, and a node passes on the activation that reached it first in a hop rather than the
+    largest; what it keeps is still the largest. Each hop reads the edges at its frontier only.
     """
-    weight = F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(0.5))
-    links = endpoints(edges).groupBy("id").agg(F.count("*").alias("degree"))
-    passing = strongest_pairs(edges).join(links, "id").withColumn("damp", F.when(F.col("degree") > 1, F.ln(F.col("degree") + 1)).otherwise(1.0))
-    passing = passing.join(nodes.select(F.col("id").alias("other"), weight.alias("node_weight")), "other")
-    passing = passing.select("id", "other", (F.lit(hop_decay) * F.col("w") * F.col("node_weight") / F.col("damp")).alias("factor"))
     own = F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0))
-    start = seeds.select("query_id", "id").distinct().join(nodes.select("id", own.alias("score")), "id")
-    frontier = start.select("query_id", "id", "score", F.array("id").alias("path"))
-    visited = start.select("query_id", F.col("id").alias("other"))
+    first = [F.min(order).alias("nth")] if order else [F.lit(0).alias("nth")]
+    start = seeds.groupBy("query_id", "id").agg(*first).join(nodes.select("id", own.alias("score")), "id")
+    frontier = cut(start.select("query_id", "id", "score", F.array("id").alias("path"), F.array(F.col("nth").cast("double")).alias("turn")))
+    visited = frontier.select("query_id", F.col("id").alias("other"))
     seed_ids, reached = visited, None
     for hop in range(1, max_hops + 1):
-        sent = frontier.join(passing, "id").select("query_id", "other", (F.col("score") * F.col("factor")).alias("score"), F.array_append("path", F.col("other")).alias("path"))
+        links = passing(nodes, edges, frontier, hop_decay, order)
+        turn = F.array_append("turn", F.col("nth").cast("double")) if order else F.col("turn")
+        sent = frontier.join(links, "id").select(
+            "query_id", "other", (F.col("score") * F.col("factor")).alias("score"), F.array_append("path", F.col("other")).alias("path"), turn.alias("turn")
+        )
         sent = sent.where(F.col("score") >= min_score).join(seed_ids, ["query_id", "other"], "left_anti")
-        got = sent.groupBy("query_id", F.col("other").alias("id")).agg(F.max("score").alias("score"), F.min_by("path", F.struct(-F.col("score"), "path")).alias("path"))
+        best = F.struct(-F.col("score"), "path")
+        got = sent.groupBy("query_id", F.col("other").alias("id")).agg(
+            F.max("score").alias("score"), F.min_by("path", best).alias("path"), F.min_by(F.struct("score", "path", "turn"), F.struct("turn", "path") if order else best).alias("next")
+        )
         got = cut(got.withColumn("hops", F.lit(hop)))
         reached = got if reached is None else reached.unionAll(got)
         fresh = got.join(visited.select("query_id", F.col("other").alias("id")), ["query_id", "id"], "left_anti")
-        frontier = fresh.select("query_id", "id", "score", "path")
-        visited = visited.unionAll(fresh.select("query_id", F.col("id").alias("other")))
+        if hop < max_hops:
+            frontier = cut(fresh.select("query_id", "id", "next.score", "next.path", "next.turn"))
+            visited = visited.unionAll(frontier.select("query_id", F.col("id").alias("other")))
     best = reached.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min_by(F.struct("hops", "path"), F.struct(-F.col("score"), "hops")).alias("how"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_results).select("query_id", "id", "score", "how.hops", "how.path")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= max_results).select("query_id", "id", "score", "how.hops", "how.path")
 
 
 def superseded(edges: DataFrame) -> DataFrame:

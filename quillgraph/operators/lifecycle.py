@@ -117,9 +117,19 @@ def apply_penalties(nodes: DataFrame, penalties: DataFrame) -> DataFrame:
     return nodes.join(total, "id", "left").withColumn("weight", F.greatest(F.lit(0.0), F.col("weight") - cut)).drop("_p")
 
 
+def _one_each(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, the same one in every run: updated or else created last, then by a hash of the row."""
+    times = [F.desc_nulls_last(c) for c in ("updated_at", "created_at") if c in rows.columns]
+    order = Window.partitionBy(*key).orderBy(*times, F.xxhash64(*rows.columns))
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace those of their id; a new row without an embedding keeps the old one."""
-    latest = new.dropDuplicates(["id"])
+    """New rows replace those of their id; a new row without an embedding keeps the old one.
+
+    Of several new rows of an id the one updated last counts, of those the one of least hash.
+    """
+    latest = _one_each(new, ["id"])
     if "embedding" in nodes.columns:
         old = nodes.select("id", F.col("embedding").alias("_old"))
         latest = latest.join(old, "id", "left").withColumn("embedding", F.coalesce("embedding", "_old")).drop("_old")
@@ -128,7 +138,7 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with new ones in place of those of their key, and new ones rejected for a missing end."""
-    good = valid_edges(new, nodes).dropDuplicates(["source", "target", "type"])
+    good = _one_each(valid_edges(new, nodes), ["source", "target", "type"])
     key = ["source", "target", "type"]
     rejected = new.join(good.select(*key), key, "left_anti")
     return edges.join(good.select(*key), key, "left_anti").unionByName(good, allowMissingColumns=True), rejected
@@ -142,7 +152,8 @@ def invalidate(edges: DataFrame, keys: DataFrame, at_ms: int) -> DataFrame:
 
 
 def store_embeddings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    new = vectors.select("id", F.col("embedding").alias("_new"))
+    """Vectors ``(id, embedding)`` on their nodes; of several for an id the greatest counts, and null keeps the old one."""
+    new = vectors.groupBy("id").agg(F.max("embedding").alias("_new"))
     return nodes.join(new, "id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")
 
 

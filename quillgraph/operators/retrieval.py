@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normalise_name, phrasings, query_tokens
 from quillgraph.functions.vector import top_k
-from quillgraph.operators.graph import demote_superseded, spreading_activation
+from quillgraph.operators.graph import demote_superseded, endpoints, spreading_activation
+from quillgraph.plans.lineage import cut
 
 #: BM25's usual constants; a name counts ten times as much as content.
 K1, B, NAME_WEIGHT = 1.2, 0.75, 10.0
@@ -47,43 +48,67 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The inverted index, derived anew and never out of step: ``(id, col, term, tf)`` and ``(id, n_name, n_content)``."""
+def occurrences_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, col, term, tf)``, a row with ``tf`` 1 for each occurrence, and ``(id, n_name, n_content)``."""
     split = nodes.select("id", tokens(F.col("name")).alias("name"), tokens(F.col("content")).alias("content"))
-    terms = split.select("id", F.explode(F.concat(F.transform("name", lambda t: F.struct(F.lit("name").alias("col"), t.alias("term"))), F.transform("content", lambda t: F.struct(F.lit("content").alias("col"), t.alias("term"))))).alias("t"))
-    index = terms.groupBy("id", "t.col", "t.term").agg(F.count("*").alias("tf"))
-    return index, split.select("id", F.size("name").alias("n_name"), F.size("content").alias("n_content"))
+    part = lambda c: F.transform(c, lambda t: F.struct(F.lit(c).alias("col"), t.alias("term")))
+    terms = split.select("id", F.explode(F.concat(part("name"), part("content"))).alias("t"))
+    return terms.select("id", "t.col", "t.term", F.lit(1).cast("long").alias("tf")), split.select("id", F.size("name").alias("n_name"), F.size("content").alias("n_content"))
+
+
+def postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inverted index, derived from the nodes: ``(id, col, term, tf)`` and ``(id, n_name, n_content)``."""
+    terms, sizes = occurrences_of(nodes)
+    return terms.groupBy("id", "col", "term").agg(F.sum("tf").alias("tf")), sizes
+
+
+def in_step(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(nodes, indexed, in_step)``: whether an index has every node, by their counts; a stale one is to be derived anew."""
+    counts = nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(sizes.agg(F.count("*").alias("indexed"))))
+    return counts.withColumn("in_step", F.col("nodes") == F.col("indexed"))
+
+
+def matching_terms(terms: DataFrame, words: DataFrame, prefix: bool = False, stem=None) -> DataFrame:
+    """``(q, term)``: which index terms (column ``term``, distinct) each query word ``q`` stands for.
+
+    With ``prefix``, a term meets the words among its own prefixes, so the join is on equality and
+    no first letter is a hot key. With ``stem``, terms and words meet by their stems.
+    """
+    if prefix:
+        parts = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
+        return terms.select("term", F.explode(parts).alias("q")).join(words, "q").select("q", "term")
+    if stem is not None:
+        return terms.select("term", stem(F.col("term")).alias("q")).join(words, "q").select("q", "term")
+    return words.select("q", F.col("q").alias("term"))
 
 
-def keyword_search(nodes: DataFrame, queries: DataFrame, limit: int = 10, prefix: bool = False, types: list | None = None, stem=None) -> DataFrame:
+def keyword_search(
+    nodes: DataFrame, queries: DataFrame, limit: int = 10, prefix: bool = False, types: list | None = None, stem=None, index: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """``(query_id, id, bm25, score)`` for queries ``(query_id, query)``.
 
     A document matches if it has any of a query's words (or words that start with one, if
     ``prefix``). Document frequencies are of phrases over all nodes; name and content share one length.
     ``score`` maps the ``limit`` best of a query to 0.3 to 0.9, 0.9 if they are all equal. ``stem``
-    is a column function applied to both sides. ``types`` filters results, not statistics.
+    is a column function applied to both sides. ``types`` filters results, not statistics. ``index``
+    is what ``postings`` made of the nodes; without it they are read here, and only the queries'
+    words of them are shuffled.
     """
-    index, sizes = postings(nodes)
-    if stem is not None:
-        index = index.withColumn("term", stem(F.col("term"))).groupBy("id", "col", "term").agg(F.sum("tf").alias("tf"))
     asked = queries.select("query_id", F.explode(F.array_distinct(query_tokens(F.col("query")))).alias("q"))
     asked = asked.withColumn("q", F.explode(F.filter(F.split("q", "[^a-z0-9]+"), lambda t: t != ""))).distinct()
     if stem is not None:
         asked = asked.withColumn("q", stem(F.col("q"))).distinct()
-    words = asked.select("q").distinct()
-    if prefix:
-        # words meet the terms that start with them through a shared two-letter key, an equi-join
-        vocabulary = index.select("term").distinct().withColumn("key", F.substring("term", 1, 2))
-        match = vocabulary.join(words.withColumn("key", F.substring("q", 1, 2)), "key").where(F.startswith("term", "q")).select("q", "term")
-        matched = index.join(match, "term")
-    else:
-        matched = index.join(words.withColumn("term", F.col("q")), "term")
+    asked = cut(asked)
+    occurrences, sizes = index or occurrences_of(nodes)
+    found = matching_terms(occurrences.select("term").distinct(), asked.select("q").distinct(), prefix, stem)
+    matched = occurrences.join(found, "term")
     tf = matched.groupBy("id", "q").agg(F.sum(F.when(F.col("col") == "name", NAME_WEIGHT).otherwise(1.0) * F.col("tf")).alias("tf"))
+    tf = cut(tf.join(sizes, "id"))  # what the words occur in, read twice below
     df = tf.groupBy("q").agg(F.count("*").alias("df"))
     total = sizes.agg(F.count("*").alias("n"), F.avg(F.col("n_name") + F.col("n_content")).alias("avg"))  # one row
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("n_name") + F.col("n_content")) / F.col("avg")))
-    parts = tf.join(df, "q").join(sizes, "id").join(F.broadcast(total)).select("id", "q", weight.alias("w"))
+    parts = tf.join(df, "q").join(F.broadcast(total)).select("id", "q", weight.alias("w"))
     # rounded, so that the order of a distributed sum never decides between equal documents
     found = asked.join(parts, "q").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("bm25"))
     if types:
@@ -126,17 +151,19 @@ def fuse(signals: list[tuple[str, DataFrame, float]]) -> DataFrame:
 def hybrid_search(
     nodes: DataFrame, edges: DataFrame, queries: DataFrame, vector_weight: float = 0.5, keyword_weight: float = 0.3, graph_weight: float = 0.2,
     limit: int = 15, min_score: float = 0.2, seed_limit: int = 5, seed_score: float = 0.3, since: int | None = None, until: int | None = None,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """``(query_id, id, score, vector, keyword, graph, rank, near_miss)`` for queries ``(query_id, query, embedding)``.
+    """``(query_id, id, score, vector, keyword, graph, rank, near_miss, weight, degree)`` for queries ``(query_id, query, embedding)``.
 
     Each signal brings twice ``limit``; the graph signal spreads from the query's best vector hits.
-    Ranks over ``limit``, half as many again, are near misses. Times filter after the merge.
+    Ranks over ``limit``, half as many again, are near misses. Times filter after the merge. Every
+    hit comes with its node's weight and number of edges. ``index`` is as in ``keyword_search``.
     """
-    vectors = vector_search(nodes, queries, 2 * limit, min_score)
+    vectors = cut(vector_search(nodes, queries, 2 * limit, min_score))
     seeds = top(vectors.where(F.col("score") >= seed_score), seed_limit)
     signals = [
         ("vector", vectors, vector_weight),
-        ("keyword", keyword_search(nodes, queries, 2 * limit), keyword_weight),
+        ("keyword", keyword_search(nodes, queries, 2 * limit, index=index), keyword_weight),
         ("graph", spreading_activation(nodes, edges, seeds, max_results=2 * limit), graph_weight),
     ]
     out = fuse(signals)
@@ -145,7 +172,27 @@ def hybrid_search(
         out = out.join(times.select("id"), "id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + -(-limit // 2))
-    return out.withColumn("near_miss", F.col("rank") > limit)
+    return enriched(out.withColumn("near_miss", F.col("rank") > limit), nodes, edges)
+
+
+def enriched(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds the nodes' ``weight`` and ``degree``; only the edges of hits are counted."""
+    hits = cut(hits)
+    ids = hits.select("id").distinct()
+    counts = endpoints(edges).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    known = nodes.select("id", "weight").join(ids, "id", "left_semi").join(counts, "id", "left")
+    return hits.join(known.select("id", "weight", F.coalesce("degree", F.lit(0)).alias("degree")), "id", "left")
+
+
+def presented(hits: DataFrame, verbose: bool = False, helpful: bool = False) -> DataFrame:
+    """The columns that a reader asked for, settled when the plan is built, so that others are never read.
+
+    ``verbose`` adds the signals, weight and degree, ``helpful`` the feedback counts, as far as there are any.
+    """
+    wanted = ["query_id", "rank", "id", "score", "near_miss"]
+    wanted += ["vector", "keyword", "graph", "weight", "degree"] if verbose else []
+    wanted += ["helpful_count", "harmful_count"] if helpful else []
+    return hits.select(*(c for c in wanted if c in hits.columns))
 
 
 def best_phrasing(results: DataFrame) -> DataFrame:

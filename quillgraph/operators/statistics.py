@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.plans.lineage import cut
+
 
 def pearson(x: str, y: str) -> Column:
     """Correlation over rows where both are there; 0 if either does not vary."""
@@ -79,11 +81,20 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``avg_rank`` (ties share their mean), from counts by distinct value and not one window over all rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_n").over(w)).select(value, "_n", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("avg_rank"))
-    return df.join(counts, value).withColumnRenamed("_n", "tied")
+    """Adds ``avg_rank`` (ties share their mean) and ``tied``.
+
+    Distinct values are counted and sorted in ranges; running sums go within a range, and the sums of
+    the ranges before, one row a range, are added.
+    """
+    ranges = df.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id())
+    ranges = cut(ranges)
+    within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranges.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_part", before.alias("_before"))
+    counts = ranges.withColumn("_upto", F.sum("_n").over(within)).join(F.broadcast(starts), "_part")
+    counts = counts.select(value, F.col("_n").alias("tied"), (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("avg_rank"))
+    return df.join(counts, value)
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -105,12 +116,18 @@ def holm(df: DataFrame, p: str, key: str) -> DataFrame:
     return out.withColumn("p_holm", F.max(scaled).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_m")
 
 
+def uniform(*keys: Column) -> Column:
+    """A number from 0 to below 1 that any engine makes of the same keys: eight digits of an MD5."""
+    text = F.concat_ws(":", *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def bootstrap_ci(df: DataFrame, value: str, by: list[str], key: str, reps: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Interval of the mean by resampling: each row weighs Poisson(1) in each replicate, by a hash, so reruns agree.
 
     Replicates are aggregated map-side; a group sends ``reps`` rows a task whatever its size.
     """
-    u = F.pmod(F.xxhash64(F.col(key).cast("string"), "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(F.col(key), F.col("rep"), F.lit(seed))
     cumulative, p, weight = 0.0, 0.36787944117144233, F.lit(7)
     steps = []
     for k in range(7):
@@ -132,7 +149,7 @@ def permutation_test(df: DataFrame, value: str, group: str, a, b, key: str, reps
     """
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("in_a"))
     seen = rows.agg(F.avg(F.when(F.col("in_a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("in_a"), F.col("v"))).alias("mb"), F.avg(F.col("in_a").cast("double")).alias("share"))
-    u = F.pmod(F.xxhash64("k", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(F.col("k"), F.col("rep"), F.lit(seed))
     each = rows.join(F.broadcast(seen)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("pa", u < F.col("share"))
     draws = each.groupBy("rep").agg(
         F.abs(F.avg(F.when(F.col("pa"), F.col("v"))) - F.avg(F.when(~F.col("pa"), F.col("v")))).alias("d"), F.first(F.col("ma") - F.col("mb")).alias("seen")

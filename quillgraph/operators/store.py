@@ -10,19 +10,43 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import graph, lifecycle, retrieval
 from quillgraph.operators.schema import EDGE_COLUMNS, NODE_COLUMNS, admit, conform, edge_defaults
+from quillgraph.plans.lineage import cut, exists
 
 
 @dataclass(frozen=True)
 class GraphStore:
-    """Immutable: every change returns a new store; ``save`` writes a snapshot folder of its own."""
+    """Immutable: every change returns a new store; ``save`` writes a snapshot folder of its own.
+
+    ``index`` is the inverted index of the nodes, once ``indexed`` has derived it; a change of nodes drops it.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    index: tuple[DataFrame, DataFrame] | None = None
+
+    @staticmethod
+    def create(spark: SparkSession, path: str) -> GraphStore:
+        """An empty store of the full schema, saved under ``path`` unless there is one already, which is then loaded."""
+        if exists(spark, f"{path}/snapshots"):
+            return GraphStore.load(spark, path)
+        columns = lambda of: ", ".join(f"{c} {t}" for c, t in of.items())
+        store = GraphStore(spark.createDataFrame([], columns(NODE_COLUMNS)), spark.createDataFrame([], columns(EDGE_COLUMNS)))
+        store.save(path)
+        return store
+
+    def indexed(self) -> GraphStore:
+        """The store with its inverted index written, so that searches don't read all texts again."""
+        terms, sizes = retrieval.postings(self.nodes)
+        return replace(self, index=(cut(terms), cut(sizes)))
+
+    def index_in_step(self) -> DataFrame:
+        """Whether the index has every node; without an index none is there."""
+        return retrieval.in_step(self.nodes, self.index[1] if self.index else self.nodes.select("id").limit(0))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> GraphStore:
         """The latest snapshot under ``path``, with edges whose ends are missing left out; older columns are filled with null."""
-        latest = spark.read.json(f"{path}/snapshots").orderBy(F.desc("n")).first()
+        latest = spark.read.json(f"{path}/snapshots").orderBy(F.desc("n"), F.desc("name")).first()  # of two saved at once, the greater name
         nodes = conform(spark.read.parquet(f"{path}/{latest['name']}/nodes"), NODE_COLUMNS)
         edges = conform(spark.read.parquet(f"{path}/{latest['name']}/edges"), EDGE_COLUMNS)
         return GraphStore(nodes, graph.valid_edges(edges, nodes).select(*EDGE_COLUMNS))
@@ -33,16 +57,13 @@ class GraphStore:
         name = f"v-{uuid.uuid4().hex}"
         self.nodes.write.parquet(f"{path}/{name}/nodes")
         self.edges.write.parquet(f"{path}/{name}/edges")
-        try:
-            n = spark.read.json(f"{path}/snapshots").agg(F.max("n")).first()[0]
-        except Exception:  # no snapshot yet
-            n = 0
+        n = spark.read.json(f"{path}/snapshots").agg(F.max("n")).first()[0] if exists(spark, f"{path}/snapshots") else 0
         spark.createDataFrame([(n + 1, name)], "n long, name string").coalesce(1).write.mode("append").json(f"{path}/snapshots")
         return name
 
     def add_nodes(self, new: DataFrame, now_ms: int) -> tuple[GraphStore, DataFrame]:
         good, bad = admit(new, now_ms)
-        return replace(self, nodes=lifecycle.upsert_nodes(self.nodes, good)), bad
+        return replace(self, nodes=lifecycle.upsert_nodes(self.nodes, good), index=None), bad
 
     def add_edges(self, new: DataFrame, now_ms: int) -> tuple[GraphStore, DataFrame]:
         edges, bad = lifecycle.upsert_edges(self.edges, edge_defaults(new, now_ms), self.nodes)
@@ -98,10 +119,10 @@ class GraphStore:
         return retrieval.vector_search(self.nodes, queries, **options)
 
     def keyword_search(self, queries: DataFrame, **options) -> DataFrame:
-        return retrieval.keyword_search(self.nodes, queries, **options)
+        return retrieval.keyword_search(self.nodes, queries, index=self.index, **options)
 
     def hybrid_search(self, queries: DataFrame, **options) -> DataFrame:
-        return retrieval.hybrid_search(self.nodes, self.edges, queries, **options)
+        return retrieval.hybrid_search(self.nodes, self.edges, queries, index=self.index, **options)
 
     def apply_feedback(self, results: DataFrame, now_ms: int, boost: float = 0.05, competition: bool = True) -> GraphStore:
         """Hits gain weight, near misses lose it, by their likeness to the best hit or by a flat amount."""

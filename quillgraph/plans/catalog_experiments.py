@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import matrix as X
 from quillgraph.operators import statistics as S
 from quillgraph.plans import views as V
+from quillgraph.sources import files, models, sessions
 
 R = lambda c, n=6: F.round(c, n)
 W = f"WITH {V.RUNS_SQL}"
@@ -48,10 +51,10 @@ def cost_rollup(s, d):
 
 
 def scheduler_phases(s, d):
-    e = V.table(s, d, "events").where("event_id < 200")
+    e = V.table(s, d, "events")
     status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "running").otherwise("done")
     reg = e.select((F.col("user_id") % 5).alias("experiment"), F.col("event_id").alias("run_id"), status.alias("status"), (F.col("event_id") % 5).alias("attempts"))
-    return X.phases(reg, max_concurrent=60)
+    return X.phases(reg, max_concurrent=1000000)
 
 
 def failure_gate(s, d):
@@ -123,11 +126,49 @@ def holm_bonferroni(s, d):
 
 
 def bootstrap_ci(s, d):
-    return S.bootstrap_ci(V.runs(s, d), "judge_score", ["strategy"], "event_id", 100)
+    return S.bootstrap_ci(V.runs(s, d), "judge_score", ["strategy"], "event_id", 100).select("strategy", R("lo").alias("lo"), R("hi").alias("hi"), "reps")
 
 
 def permutation_test(s, d):
-    return S.permutation_test(V.runs(s, d), "judge_score", "strategy", "s3", "s9", "event_id", 100)
+    out = S.permutation_test(V.runs(s, d), "judge_score", "strategy", "s3", "s9", "event_id", 100)
+    return out.select(R("difference").alias("difference"), R("p").alias("p"), "reps")
+
+
+def enough_runs(s, d):
+    """Means of groups that have three runs or more; smaller groups have none."""
+    r = V.runs(s, d).groupBy("user_id")
+    return r.agg(F.count("*").alias("n"), R(S.at_least(3, F.avg("judge_score"))).alias("mean"))
+
+
+def some_and_every(s, d):
+    """By user: whether some event and whether every event is an error."""
+    bad = F.col("event_type") == "error"
+    return V.table(s, d, "events").groupBy("user_id").agg(F.bool_or(bad).alias("some"), F.bool_and(bad).alias("every"))
+
+
+def sessions_prefixed(s, d):
+    m = sessions.with_prefix(V.messages(s, d), ["1", "25"])
+    return m.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+def json_lines(s, d):
+    return files.as_json(V.table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+def report_table(s, d):
+    return files.as_table(V.table(s, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+def time_argument(s, d):
+    """Events since three days before the time of reading, the argument read when the plan is built."""
+    since = T.parse_time("3d", V.AS_OF_MS)
+    return V.table(s, d, "events").where(F.unix_millis("ts") >= since).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def packed_vectors(s, d):
+    """Vectors packed as 32-bit floats and back."""
+    back = models.unpack_float32(models.pack_float32(V.vectors(s, d).select("id", "embedding")).drop("embedding"), "blob")
+    return back.select("id", F.size("embedding").alias("size"), R(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 def mean_pairwise_distance(s, d):
@@ -137,9 +178,15 @@ def mean_pairwise_distance(s, d):
 _MATRIX = f"""m AS (
     SELECT session, strategy, retained, threshold, rep, session || '-' || strategy || '-R' || retained || '-T' || threshold || '-r' || rep AS run_id,
            row_number() OVER (ORDER BY session, strategy, retained, threshold, rep) - 1 AS ord
-    FROM (SELECT substr(CAST(conv_id AS VARCHAR), 1, 8) AS session FROM conversations WHERE turn = 0 AND conv_id % 40 = 0), (SELECT unnest({V.STRATEGIES!r}) AS strategy),
+    FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session FROM conversations), (SELECT unnest({V.STRATEGIES!r}) AS strategy),
          (SELECT unnest({V.RETAINED!r}) AS retained), (SELECT unnest({V.THRESHOLDS!r}) AS threshold), (SELECT unnest(range(1, {V.REPS} + 1)) AS rep))"""
 _COST = "(tokens_in * CASE model WHEN 'sonnet' THEN 3.0 WHEN 'haiku' THEN 0.8 WHEN 'gemini-flash' THEN 0.15 ELSE 0 END + tokens_out * CASE model WHEN 'sonnet' THEN 15.0 WHEN 'haiku' THEN 4.0 WHEN 'gemini-flash' THEN 0.6 ELSE 0 END) / 1e6"
+# cumulative Poisson(1) shares of 0 to 6
+_POISSON, _share, _sum = "", math.exp(-1.0), 0.0
+for _k in range(7):
+    _sum += _share
+    _POISSON += f"WHEN u < {_sum!r}::DOUBLE THEN {_k} "
+    _share /= _k + 1
 _RANKED = "SELECT strategy, round(corr(x, y), 6) AS rho, count(*) AS n FROM (SELECT strategy, {f}() OVER (PARTITION BY strategy ORDER BY judge_score{o}) AS x, {f}() OVER (PARTITION BY strategy ORDER BY human_score{o}) AS y FROM runs WHERE judge_score IS NOT NULL) GROUP BY strategy"
 QUERIES = {
     "matrix": (matrix, f"WITH {_MATRIX} SELECT run_id, CAST(ord AS INT) AS ord FROM m"),
@@ -148,10 +195,10 @@ QUERIES = {
     "coverage_gate": (coverage_gate, f"WITH {_MATRIX} SELECT count(*) AS planned, count(*) FILTER (ord % 3 = 0) AS done, round(count(*) FILTER (ord % 3 = 0) / count(*), 6) AS coverage, count(*) FILTER (ord % 3 = 0) / count(*) >= 0.3 AS passed FROM m"),
     "strategy_summary": (strategy_summary, f"{W} SELECT strategy, count(*) AS runs, round(avg(judge_score), 6) AS quality, round(avg(tokens_in / (tokens_out + 1)), 6) AS compression, round(avg(tokens_in), 6) AS latency_ms, round(avg({_COST}), 9) AS cost_usd FROM runs WHERE judge_score IS NOT NULL GROUP BY strategy"),
     "cost_rollup": (cost_rollup, f"{W} SELECT model, count(*) AS calls, round(sum({_COST}), 6) AS cost_usd FROM runs GROUP BY model"),
-    "scheduler_phases": (scheduler_phases, """WITH r AS (SELECT user_id % 5 AS experiment, event_id AS run_id, event_type, event_id % 5 AS attempts FROM events WHERE event_id < 200),
+    "scheduler_phases": (scheduler_phases, """WITH r AS (SELECT user_id % 5 AS experiment, event_id AS run_id, event_type, event_id % 5 AS attempts FROM events),
         y AS (SELECT experiment, run_id, row_number() OVER (PARTITION BY experiment ORDER BY run_id) AS turn FROM r WHERE event_type = 'click' OR (event_type = 'error' AND attempts < 3)),
         p AS (SELECT experiment, run_id, row_number() OVER (ORDER BY turn, experiment) AS place FROM y)
-        SELECT experiment, run_id, CAST(place AS INT) AS place FROM p WHERE place <= 60 - (SELECT count(*) FROM r WHERE event_type = 'signup')"""),
+        SELECT experiment, run_id, CAST(place AS INT) AS place FROM p WHERE place <= 1000000 - (SELECT count(*) FROM r WHERE event_type = 'signup')"""),
     "failure_gate": (failure_gate, f"{W} SELECT strategy, count(*) AS n, round(count(*) FILTER (judge_score IS NULL) / count(*), 6) AS failure_rate, count(*) FILTER (judge_score IS NULL) / count(*) > 0.2 AS stopped FROM runs GROUP BY strategy"),
     "pearson": (pearson, f"{W} SELECT strategy, round(corr(judge_score, human_score), 6) AS r FROM runs GROUP BY strategy"),
     "pearson_flat": (pearson_flat, f"{W} SELECT DISTINCT strategy, CAST(0.0 AS DOUBLE) AS r FROM runs"),
@@ -175,8 +222,21 @@ QUERIES = {
     "holm_bonferroni": (holm_bonferroni, f"""{W}, p AS (SELECT user_id % 12 AS test, avg(judge_score) / 5000 AS p FROM runs WHERE judge_score IS NOT NULL GROUP BY 1),
         q AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1)) AS s FROM p)
         SELECT test, round(p, 6) AS p, round(max(s) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM q"""),
-    "bootstrap_ci": (bootstrap_ci, None),
-    "permutation_test": (permutation_test, None),
+    "bootstrap_ci": (bootstrap_ci, f"""{W}, u AS (SELECT strategy, judge_score, rep, CAST('0x' || substr(md5(event_id || ':' || rep || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM runs, (SELECT unnest(range(1, 101)) AS rep) WHERE judge_score IS NOT NULL),
+        m AS (SELECT strategy, rep, sum(w * judge_score) / nullif(sum(w), 0) AS m FROM (SELECT *, CASE {_POISSON} ELSE 7 END AS w FROM u) GROUP BY strategy, rep)
+        SELECT strategy, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(m) AS reps FROM m GROUP BY strategy"""),
+    "permutation_test": (permutation_test, f"""{W}, r AS (SELECT event_id, judge_score AS v, strategy = 's3' AS in_a FROM runs WHERE strategy IN ('s3', 's9') AND judge_score IS NOT NULL),
+        k AS (SELECT avg(v) FILTER (in_a) - avg(v) FILTER (NOT in_a) AS seen, avg(CASE WHEN in_a THEN 1.0 ELSE 0.0 END) AS share FROM r),
+        e AS (SELECT rep, v, CAST('0x' || substr(md5(event_id || ':' || rep || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < share AS pa FROM r, k, (SELECT unnest(range(1, 101)) AS rep)),
+        x AS (SELECT rep, abs(avg(v) FILTER (pa) - avg(v) FILTER (NOT pa)) AS d FROM e GROUP BY rep)
+        SELECT round(any_value(seen), 6) AS difference, round((count(*) FILTER (d >= abs(seen)) + 1) / (count(*) + 1), 6) AS p, count(*) AS reps FROM x, k"""),
+    "enough_runs": (enough_runs, f"{W} SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(avg(judge_score), 6) END AS mean FROM runs GROUP BY user_id"),
+    "some_and_every": (some_and_every, "SELECT user_id, bool_or(event_type = 'error') AS some, bool_and(event_type = 'error') AS every FROM events GROUP BY user_id"),
+    "sessions_prefixed": (sessions_prefixed, "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM conversations WHERE CAST(conv_id AS VARCHAR) LIKE '1%' OR CAST(conv_id AS VARCHAR) LIKE '25%' GROUP BY 1"),
+    "json_lines": (json_lines, """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation"""),
+    "report_table": (report_table, """SELECT 0 AS n, 'n_nationkey  n_name' AS line UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey), rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || n_name FROM nation"""),
+    "time_argument": (time_argument, f"SELECT event_type, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 >= {V.AS_OF_MS} - 3 * 86400000 GROUP BY 1"),
+    "packed_vectors": (packed_vectors, "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings"),
     "mean_pairwise_distance": (mean_pairwise_distance, f"""WITH {V.VECTORS_SQL}, k AS (SELECT type, count(*) AS n FROM vectors GROUP BY type)
         SELECT k.type, k.n, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS mean_distance FROM k JOIN vectors a ON a.type = k.type JOIN vectors b ON b.type = k.type AND a.id < b.id GROUP BY k.type, k.n"""),
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import js_round
 from quillgraph.operators import graph, lifecycle, schema
 from quillgraph.plans import views as V
+from quillgraph.plans.lineage import cut
+from quillgraph.sources import markdown
 from quillgraph.streaming import events as stream
 
 R = lambda c, n=6: F.round(c, n)
@@ -89,7 +91,8 @@ def _seeds(s, d):
 
 
 def spreading_activation(s, d):
-    out = graph.spreading_activation(V.nodes(s, d), V.edges(s, d), _seeds(s, d))
+    # views stand for a store's tables, so they are written once, as a store has them
+    out = graph.spreading_activation(cut(V.nodes(s, d)), cut(V.edges(s, d)), _seeds(s, d))
     return out.select("query_id", "id", R("score").alias("score"))
 
 
@@ -191,11 +194,38 @@ def node_problems(s, d):
 
 
 def admit_nodes(s, d):
-    n = V.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 0, "widget").otherwise("concept").alias("type"), F.substring("text", 1, 200).alias("name"), F.substring("text", 1, (100 + F.col("doc_id") % 100).cast("int")).alias("content"))
+    n = V.table(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 0, "widget").otherwise("concept").alias("type"), F.col("text").alias("name"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("text")).alias("content"),
+    )
     good, bad = schema.admit(n, V.AS_OF_MS)
     return good.select("id", F.lit("accepted").alias("outcome"), F.md5("name").alias("detail")).unionAll(bad.select("id", F.lit("rejected"), "reason"))
 
 
+def edges_of(s, d):
+    return graph.edges_of(V.edges(s, d), "nation:3").select("source", "target", "type", R("weight").alias("weight"))
+
+
+def touch_nodes(s, d):
+    n = V.event_nodes(s, d).withColumn("access_count", F.lit(0).cast("long"))
+    seen = V.table(s, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("id"))
+    return lifecycle.touch(n, seen, V.AS_OF_MS).select("id", "access_count", "last_accessed")
+
+
+def store_embeddings(s, d):
+    """Every fifth node gets two vectors, its own and that backwards; the greater one is stored."""
+    n = V.vectors(s, d)
+    fifth = n.where("id % 5 = 0").select("id", "embedding")
+    out = lifecycle.store_embeddings(n, fifth.unionAll(fifth.select("id", F.reverse("embedding").alias("embedding"))))
+    return out.select("id", R(F.element_at("embedding", 1).cast("double")).alias("first"))
+
+
+def literal_relations(s, d):
+    """Relations written out in code, the later of a key, and only those whose ends exist."""
+    rows = [("nation:1", "nation:2", "relates_to", 0.1), ("nation:1", "nation:2", "relates_to", 0.5), ("nation:2", "nation:99", "supports", 1.0), ("nation:3", "nation:1", "relates_to", 0.9)]
+    return graph.valid_edges(markdown.literal_edges(s, rows), V.nodes(s, d)).select("source", "target", "type", "weight")
+
+
 def edges_valid_at(s, d):
     e = V.event_edges(s, d).join(V.event_nodes(s, d).select(F.col("id").alias("source"), "created_at"), "source")
     e = e.withColumns({"valid_from": F.when(F.col("source") % 2 == 0, F.col("created_at")), "valid_until": F.when(F.col("source") % 3 == 0, F.col("created_at") + 86400000)})
@@ -237,8 +267,7 @@ def events_tumbling(s, d):
 
 
 def events_sliding(s, d):
-    e = V.table(s, d, "events")
-    return e.groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "n", "users")
+    return stream.sliding(V.table(s, d, "events")).select("start", "n", "users")
 
 
 def events_session(s, d):
@@ -333,7 +362,16 @@ QUERIES = {
         SELECT CAST(ord AS INT) AS ord, r.id, '- **' || name || '**: ' || name || '.' || coalesce(' ← ' || srcs, '') AS line FROM r LEFT JOIN f ON r.id = f.id WHERE ord <= 15 OR topical = 0"""),
     "node_problems": (node_problems, f"""{_G}, b AS (SELECT id, CASE WHEN id LIKE '%5' THEN 'missing name' END AS x, CASE WHEN id LIKE '%3' THEN 'invalid type: widget' END AS y, CASE WHEN id LIKE '%7' THEN 'weight must be in [0, 1]' END AS z FROM nodes)
         SELECT id, concat_ws('; ', x, y, z) AS problems FROM b WHERE coalesce(x, y, z) IS NOT NULL"""),
-    "admit_nodes": (admit_nodes, None),
+    "admit_nodes": (admit_nodes, """WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'widget' ELSE 'concept' END AS type, text AS name, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang ELSE text END, '') AS content FROM documents),
+        r AS (SELECT *, CASE WHEN length(content) > 150 THEN 'content too long' ELSE concat_ws('; ', CASE WHEN coalesce(name, '') = '' THEN 'missing name' END, CASE WHEN type = 'widget' THEN 'invalid type: widget' END) END AS reason FROM n)
+        SELECT id, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome,
+               CASE WHEN reason <> '' THEN reason ELSE md5(CASE WHEN length(name) > 150 THEN regexp_replace(substr(name, 1, 150), '\\s+\\S*$', '') || '…' ELSE name END) END AS detail FROM r"""),
+    "edges_of": (edges_of, f"{_G} SELECT source, target, type, round(weight, 6) AS weight FROM edges WHERE source = 'nation:3' OR target = 'nation:3'"),
+    "touch_nodes": (touch_nodes, f"""WITH {V.EVENT_NODES_SQL}, h AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1)
+        SELECT e.id, coalesce(n, 0) AS access_count, CASE WHEN n > 0 THEN CAST({V.AS_OF_MS} AS BIGINT) ELSE last_accessed END AS last_accessed FROM event_nodes e LEFT JOIN h ON e.id = h.id"""),
+    "store_embeddings": (store_embeddings, f"""WITH {V.VECTORS_SQL} SELECT id, round(CASE WHEN id % 5 = 0 THEN greatest(list_reverse(v), v) ELSE v END[1], 6) AS first FROM vectors"""),
+    "literal_relations": (literal_relations, f"""{_G}, l AS (SELECT * FROM (VALUES ('nation:1', 'nation:2', 'relates_to', 0.5), ('nation:2', 'nation:99', 'supports', 1.0), ('nation:3', 'nation:1', 'relates_to', 0.9)) v(source, target, type, weight))
+        SELECT source, target, type, CAST(weight AS DOUBLE) AS weight FROM l WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)"""),
     "edges_valid_at": (edges_valid_at, f"""WITH {V.EVENT_NODES_SQL}, {V.EVENT_EDGES_SQL}, t AS (SELECT {V.AS_OF_MS} - 10 * 86400000 AS then_ms)
         SELECT e.type, count(*) AS n FROM event_edges e JOIN event_nodes n ON n.id = e.source, t
         WHERE (source % 2 <> 0 OR created_at <= then_ms) AND (source % 3 <> 0 OR created_at + 86400000 > then_ms) GROUP BY e.type"""),

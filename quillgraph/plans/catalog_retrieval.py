@@ -11,6 +11,7 @@ from quillgraph.operators import lifecycle, retrieval
 from quillgraph.operators import statistics as S
 from quillgraph.plans import views as V
 from quillgraph.plans.catalog_graph import ACTIVATION_SQL
+from quillgraph.plans.lineage import cut
 from quillgraph.sources import models
 
 R = lambda c, n=6: F.round(c, n)
@@ -59,8 +60,10 @@ def postings_terms(s, d):
     return index.groupBy("col", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-def _hybrid(s, d):
-    return retrieval.hybrid_search(V.text_nodes(s, d), V.text_edges(s, d), V.text_queries(s, d), limit=8)
+def _hybrid(s, d, **options):
+    # views stand for a store's tables, so they are written once, as a store has them
+    nodes, edges = cut(V.text_nodes(s, d)), cut(V.text_edges(s, d))
+    return retrieval.hybrid_search(nodes, edges, V.text_queries(s, d), limit=8, **options)
 
 
 def hybrid_search(s, d):
@@ -68,6 +71,24 @@ def hybrid_search(s, d):
     return _hybrid(s, d).select("query_id", "id", R("score").alias("score"), R("vector").alias("vector"), R("keyword").alias("keyword"), R("graph").alias("graph"), "near_miss")
 
 
+def hybrid_enriched(s, d):
+    """Hits with their nodes' weight and number of edges, in the columns that a verbose reader gets."""
+    out = retrieval.presented(_hybrid(s, d), verbose=True)
+    return out.select("query_id", "rank", "id", "near_miss", R("weight").alias("weight"), "degree")
+
+
+def hybrid_time_range(s, d):
+    """Hits of nodes made from one time to another, both included."""
+    out = retrieval.presented(_hybrid(s, d, since=100, until=600))
+    return out.select("query_id", "rank", "id", R("score").alias("score"))
+
+
+def index_in_step(s, d):
+    n = V.text_nodes(s, d)
+    _, sizes = retrieval.postings(n)
+    return retrieval.in_step(n, sizes).unionAll(retrieval.in_step(n, sizes.where("n_content > 20")))
+
+
 def suppress_competitors(s, d):
     return lifecycle.competition_penalties(_hybrid(s, d), V.text_nodes(s, d)).select("query_id", "id", R("similarity").alias("similarity"), R("penalty").alias("penalty"))
 
@@ -94,18 +115,39 @@ def retrieval_mrr(s, d):
     return out.select("setting", R("mrr").alias("mrr"), R("mrr_at_k").alias("mrr_at_k"), "top_k", "queries")
 
 
+#: Weight settings that are compared: what the vector and the keyword signal count.
+SETTINGS = {"vector": (1.0, 0.0), "even": (0.5, 0.5), "keyword": (0.0, 1.0)}
+
+
+def mrr_by_setting(s, d):
+    """Mean reciprocal rank by weight setting and type of query: which documents of an item's language come up."""
+    from pyspark.sql import Window
+
+    n, q = cut(V.text_nodes(s, d)), cut(V.text_queries(s, d))
+    kinds = q.select("query_id").join(n.select(F.col("id").alias("query_id"), F.col("type").alias("query_type")), "query_id")
+    vector, keyword = cut(retrieval.vector_search(n, q, 10, 0.2)), cut(retrieval.keyword_search(n, q, 10))
+    ranked = None
+    for name, (v, k) in SETTINGS.items():
+        fused = retrieval.fuse([("vector", vector, v), ("keyword", keyword, k)]).where("score > 0")
+        part = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).withColumn("setting", F.lit(name))
+        ranked = part if ranked is None else ranked.unionAll(part)
+    relevant = kinds.join(n.select("id", F.col("type").alias("query_type")), "query_type").select("query_id", "id")
+    out = S.ranking_quality(ranked.join(kinds, "query_id"), relevant, ["setting", "query_type"])
+    return out.select("setting", "query_type", R("mrr").alias("mrr"), R("mrr_at_k").alias("mrr_at_k"), "top_k", "queries")
+
+
 def multi_phrasing(s, d):
-    q = V.text_queries(s, d).select("query_id", F.posexplode(T.phrasings(F.substring("query", 1, 80))).alias("phrasing", "query"))
+    q = V.text_queries(s, d).select("query_id", F.posexplode(T.phrasings(F.col("query"))).alias("phrasing", "query"))
     keyed = q.select((F.col("query_id") * 10 + F.col("phrasing")).alias("query_id"), "query")
     found = retrieval.keyword_search(V.text_nodes(s, d), keyed, limit=5).select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("phrasing"), "id", "score")
     return retrieval.best_phrasing(found).select("query_id", "id", R("score").alias("score"), "phrasing")
 
 
 def search_end_to_end(s, d):
-    """Phrasings of the benchmark's first words, each with a hashed vector, over documents with hashed vectors."""
-    n = models.embed(V.text_nodes(s, d).drop("embedding"), "name")
-    q = V.text_queries(s, d).select("query_id", F.substring("query", 1, 60).alias("query"))
-    return retrieval.search(n, V.text_edges(s, d), q, lambda df: models.embed(df, "query"), limit=5)
+    """Phrasings of the benchmark's items, each with a hashed vector, over documents with hashed vectors."""
+    n = cut(models.embed(V.text_nodes(s, d).drop("embedding"), "name"))
+    q = V.text_queries(s, d).select("query_id", "query")
+    return retrieval.search(n, cut(V.text_edges(s, d)), q, lambda df: models.embed(df, "query"), limit=5)
 
 
 def query_phrasings(s, d):
@@ -134,8 +176,14 @@ def dedup_fuzzy_name(s, d):
 
 
 def dedup_semantic(s, d):
-    v = V.vectors(s, d).withColumn("name", F.concat(F.lit("vector "), F.col("id") % 450))
-    new, known = v.where("id >= 400").withColumn("id", F.when(F.col("id") < 410, F.col("id") - 400).otherwise(F.col("id"))), v.where("id < 400")
+    known = V.vectors(s, d).withColumn("name", F.concat(F.lit("vector "), F.col("id") % 450))
+    # all vectors come once more, backwards, most under new ids, some under new names
+    new = known.withColumns(
+        {
+            "id": F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") + 100000000), "embedding": F.reverse("embedding"),
+            "name": F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(" again"))).otherwise(F.col("name")),
+        }
+    )
     return retrieval.dedup_decisions(new, known, skip=0.45, warn=0.40).select("id", "decision", "matched", R("score").alias("score"))
 
 
@@ -190,17 +238,20 @@ HYBRID_SQL = f"""WITH {V.TEXT_NODES_SQL}, {V.TEXT_EDGES_SQL}, {V.TEXT_QUERIES_SQ
     fused AS (SELECT *, round(vector * 0.5 + keyword * 0.3 + graph * 0.2, 9) AS score FROM wide),
     hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 12)"""
 
+PHRASINGS_SQL = f"""w AS (SELECT item_id, text, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s-]', '', 'g'), '\\s+'), lambda x: x NOT IN ({PHRASE_STOP_SQL}) AND length(x) > 1) AS k FROM {{source}}),
+        p AS (SELECT item_id, [text] || CASE WHEN len(k) >= 2 AND array_to_string(k, ' ') <> lower(trim(text)) THEN [array_to_string(k, ' ')] ELSE [] END || CASE WHEN len(k) >= 3 THEN [array_to_string(list_reverse(k), ' ')] ELSE [] END AS ps FROM w)"""
+
 QUERIES = {
     "hybrid_search": (hybrid_search, f"{HYBRID_SQL} SELECT query_id, id, round(score, 6) AS score, round(vector, 6) AS vector, round(keyword, 6) AS keyword, round(graph, 6) AS graph, rank > 8 AS near_miss FROM hybrid"),
     "vector_topk": (vector_topk, f"WITH {V.VECTORS_SQL}, {VQ}, r AS ({vector_sql('vectors', 'vq', 10, 0.3)}) SELECT query_id, id, round(score, 6) AS score FROM r"),
     "vector_topk_typed": (vector_topk_typed, f"""WITH {V.VECTORS_SQL}, {VQ}, kept AS (SELECT * FROM vectors WHERE type IN ('0', '1', '2') AND created_at BETWEEN 100 AND 400),
         r AS ({vector_sql('kept', 'vq', 5, 0.1)}) SELECT query_id, id, round(score, 6) AS score FROM r"""),
-    "vector_alias_max": (vector_alias_max, f"""WITH {V.VECTORS_SQL}, {VQ}, every AS (SELECT id, v FROM vectors UNION ALL SELECT id + 1, v FROM vectors WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM vectors)),
+    "vector_alias_max": (vector_alias_max, f"""WITH {V.VECTORS_SQL}, {VQ}, every AS (SELECT id, v FROM vectors UNION ALL SELECT id + 1, v FROM vectors WHERE id + 1 IN (SELECT id FROM vectors)),
         b AS (SELECT query_id, e.id, max(list_cosine_similarity(q.v, e.v)) AS score FROM vq q, every e GROUP BY query_id, e.id HAVING max(list_cosine_similarity(q.v, e.v)) >= 0.3)
         SELECT query_id, id, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""),
     "keyword_bm25": (keyword_bm25, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(10)} SELECT query_id, id, round(bm25, 6) AS bm25 FROM keyword"),
     "keyword_rescaled": (keyword_rescaled, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(5)} SELECT query_id, id, round(score, 6) AS score FROM keyword"),
-    "keyword_prefix": (keyword_prefix, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(5, 'starts_with(x.term, a.q) AND substr(x.term, 1, 2) = substr(a.q, 1, 2)')} SELECT query_id, id, round(bm25, 6) AS bm25, round(score, 6) AS score FROM keyword"),
+    "keyword_prefix": (keyword_prefix, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(5, 'starts_with(x.term, a.q)')} SELECT query_id, id, round(bm25, 6) AS bm25, round(score, 6) AS score FROM keyword"),
     "keyword_bm25_porter": (keyword_bm25_porter, None),
     "postings_terms": (postings_terms, f"""WITH {V.TEXT_NODES_SQL}, t AS (SELECT id, 'name' AS col, unnest({TOKENS_SQL.format(c='name')}) AS term FROM text_nodes UNION ALL SELECT id, 'content', unnest({TOKENS_SQL.format(c='content')}) FROM text_nodes)
         SELECT col, term, count(DISTINCT id) AS df, count(*) AS tf FROM t GROUP BY col, term"""),
@@ -214,10 +265,25 @@ QUERIES = {
     "retrieval_mrr": (retrieval_mrr, f"""WITH {V.VECTORS_SQL}, {VQ}, r AS ({vector_sql('vectors', 'vq', 11, -1.0)}), k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r WHERE query_id <> id),
         b AS (SELECT k.query_id, min(CASE WHEN a.type = b.type THEN rank END) AS best FROM k JOIN vectors a ON a.id = k.query_id JOIN vectors b ON b.id = k.id GROUP BY k.query_id)
         SELECT 'vector' AS setting, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(CASE WHEN best <= 5 THEN 1.0 / best ELSE 0 END), 6) AS mrr_at_k, count(*) FILTER (best <= 5) AS top_k, count(*) AS queries FROM b"""),
-    "multi_phrasing": (multi_phrasing, None),
+    "multi_phrasing": (multi_phrasing, f"""WITH {V.TEXT_NODES_SQL}, items AS (SELECT item_id, text FROM benchmark JOIN embeddings ON item_id = vec_id), {PHRASINGS_SQL.format(source='items')},
+        text_queries AS (SELECT item_id * 10 + i - 1 AS query_id, ps[i] AS query FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)), {bm25_sql(5)},
+        each AS (SELECT query_id // 10 AS query_id, CAST(query_id % 10 AS INT) AS phrasing, id, score FROM keyword)
+        SELECT query_id, id, round(score, 6) AS score, phrasing FROM each QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, phrasing) = 1"""),
+    "hybrid_enriched": (hybrid_enriched, f"""{HYBRID_SQL}, around AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM text_edges UNION ALL SELECT target FROM text_edges) GROUP BY id)
+        SELECT query_id, CAST(rank AS INT) AS rank, h.id, rank > 8 AS near_miss, round(n.weight, 6) AS weight, coalesce(degree, 0) AS degree FROM hybrid h JOIN text_nodes n ON n.id = h.id LEFT JOIN around a ON a.id = h.id"""),
+    "hybrid_time_range": (hybrid_time_range, f"""{HYBRID_SQL} SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, f.id, round(score, 6) AS score FROM fused f JOIN text_nodes n ON n.id = f.id
+        WHERE created_at BETWEEN 100 AND 600 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, f.id) QUALIFY row_number() OVER w <= 12"""),
+    "index_in_step": (index_in_step, f"""WITH {V.TEXT_NODES_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (len({TOKENS_SQL.format(c='content')}) > 20) AS m FROM text_nodes)
+        SELECT n AS nodes, n AS indexed, true AS in_step FROM n UNION ALL SELECT n, m, n = m FROM n"""),
+    "mrr_by_setting": (mrr_by_setting, f"""WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, vector AS ({vector_sql('text_nodes', 'text_queries', 10, 0.2)}), {bm25_sql(10)},
+        kinds AS (SELECT query_id, type FROM text_queries JOIN text_nodes ON id = query_id), signals AS ({_scaled('vector')} UNION ALL {_scaled('keyword')}),
+        wide AS (SELECT query_id, id, coalesce(max(s) FILTER (signal = 'vector'), 0) AS v, coalesce(max(s) FILTER (signal = 'keyword'), 0) AS k FROM signals GROUP BY query_id, id),
+        fused AS (SELECT setting, query_id, id, round(v * wv + k * wk, 9) AS score FROM wide, (VALUES ('vector', 1.0, 0.0), ('even', 0.5, 0.5), ('keyword', 0.0, 1.0)) t(setting, wv, wk) WHERE round(v * wv + k * wk, 9) > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, id) AS rank FROM fused),
+        best AS (SELECT r.setting, r.query_id, q.type AS query_type, min(CASE WHEN n.type = q.type THEN rank END) AS best FROM ranked r JOIN kinds q ON q.query_id = r.query_id JOIN text_nodes n ON n.id = r.id GROUP BY ALL)
+        SELECT setting, query_type, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(CASE WHEN best <= 5 THEN 1.0 / best ELSE 0 END), 6) AS mrr_at_k, count(*) FILTER (best <= 5) AS top_k, count(*) AS queries FROM best GROUP BY ALL"""),
     "search_end_to_end": (search_end_to_end, None),
-    "query_phrasings": (query_phrasings, f"""WITH w AS (SELECT item_id, text, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s-]', '', 'g'), '\\s+'), lambda x: x NOT IN ({PHRASE_STOP_SQL}) AND length(x) > 1) AS k FROM benchmark),
-        p AS (SELECT item_id, [text] || CASE WHEN len(k) >= 2 AND array_to_string(k, ' ') <> lower(trim(text)) THEN [array_to_string(k, ' ')] ELSE [] END || CASE WHEN len(k) >= 3 THEN [array_to_string(list_reverse(k), ' ')] ELSE [] END AS ps FROM w)
+    "query_phrasings": (query_phrasings, f"""WITH {PHRASINGS_SQL.format(source='benchmark')}
         SELECT item_id, CAST(i - 1 AS INT) AS n, md5(ps[i]) AS phrasing FROM (SELECT item_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)"""),
     "query_tokens": (query_tokens, f"SELECT item_id, array_to_string({QUERY_TOKENS_SQL.format(c='text')}, ' ') AS tokens FROM benchmark"),
     "relevance_note": (relevance_note, f"""WITH {V.VECTORS_SQL}, {VQ}, kept AS (SELECT * FROM vectors WHERE id % 50 <> 0), r AS ({vector_sql('kept', 'vq', 3, 0.25)})
@@ -225,8 +291,8 @@ QUERIES = {
     "dedup_exact": (dedup_exact, "SELECT doc_id AS id, m AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS m FROM documents) WHERE doc_id <> m"),
     "dedup_fuzzy_name": (dedup_fuzzy_name, """WITH n AS (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS norm FROM documents)
         SELECT id, m AS duplicate_of FROM (SELECT id, min(id) OVER (PARTITION BY norm) AS m FROM n WHERE norm <> '') WHERE id <> m"""),
-    "dedup_semantic": (dedup_semantic, f"""WITH {V.VECTORS_SQL}, new AS (SELECT CASE WHEN id < 410 THEN id - 400 ELSE id END AS id, 'vector ' || (id % 450) AS name, v FROM vectors WHERE id >= 400),
-        known AS (SELECT id, 'vector ' || (id % 450) AS name, v FROM vectors WHERE id < 400),
+    "dedup_semantic": (dedup_semantic, f"""WITH {V.VECTORS_SQL}, known AS (SELECT id, 'vector ' || (id % 450) AS name, v FROM vectors),
+        new AS (SELECT CASE WHEN id % 7 = 0 THEN id ELSE id + 100000000 END AS id, name || CASE WHEN id % 3 = 0 THEN ' again' ELSE '' END AS name, list_reverse(v) AS v FROM known),
         c AS (SELECT id, 0 AS level, 'exact' AS decision, id AS matched, 1.0 AS score FROM new WHERE id IN (SELECT id FROM known)
             UNION ALL SELECT n.id, 1, 'name', min(k.id), 1.0 FROM new n JOIN known k ON n.name = k.name AND n.id <> k.id GROUP BY n.id
             UNION ALL SELECT id, 2, CASE WHEN score >= 0.45 THEN 'skip' ELSE 'warn' END, matched, score FROM (

@@ -74,7 +74,7 @@ def slugify(s, d):
 
 
 def normalise_name(s, d):
-    return V.table(s, d, "conversations").select("conv_id", "turn", T.normalise_name(F.substring("text", 1, 100)).alias("name"))
+    return V.table(s, d, "conversations").select("conv_id", "turn", T.normalise_name(F.col("text")).alias("name"))
 
 
 def first_sentence(s, d):
@@ -153,10 +153,31 @@ def fold_evaluation(s, d):
     return fold.evaluate_folds(V.messages(s, d), 300, "s5", keep_recent=1)
 
 
-def replay_summary(s, d):
+def replay_bounded(s, d):
+    """Topic summaries of bounded size, each fold told the summary of the one before."""
+    return fold.replay(V.messages(s, d), 400, "s9-v3", keep_recent=1, carry=True)
+
+
+def replay_points(s, d):
     return fold.replay_summary(replay_fold(s, d))
 
 
+def replay_summary(s, d):
+    """The roll-up of fold points, here events as points of their user's session."""
+    points = V.table(s, d, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("turn"), (F.length("props") * 100).cast("long").alias("before"), (F.col("event_id") % 90).alias("after"),
+        (F.length("props") * 10).cast("long").alias("tokens_in"), (F.col("event_id") % 7).alias("tokens_out"),
+    )
+    return fold.replay_summary(points).select("session_id", "folds", R("mean_compression").alias("mean_compression"), "steady_tokens", R("cost_usd", 9).alias("cost_usd"))
+
+
+def serialised_blocks(s, d):
+    """Turns as blocks of text, a call and its result, told in one text."""
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    raw = F.concat(F.lit('[{"type":"text","text":'), quoted("text"), F.lit('},{"type":"toolCall","name":"n"},{"type":"toolResult","content":'), quoted("text"), F.lit('},{"type":"thinking","thinking":"x"}]'))
+    return V.table(s, d, "conversations").select("conv_id", "turn", F.md5(sessions.serialize(F.from_json(raw, f"array<{sessions.BLOCK}>"))).alias("shown"))
+
+
 _SNAP = "r AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY idx) AS upto FROM messages)"
 _BACK = "b AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY idx DESC) AS back, count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY idx DESC) AS u FROM messages)"
 _MD5_CUT = "substr(text, 1, 150)"
@@ -180,7 +201,7 @@ QUERIES = {
         SELECT m.session_id, CAST(sum(tokens) AS BIGINT) AS before, after, round(sum(tokens) / greatest(after, 1), 6) AS ratio FROM messages m JOIN a ON m.session_id = a.session_id GROUP BY m.session_id, after"""),
     "slugify": (slugify, """WITH s AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS s FROM conversations)
         SELECT conv_id, turn, substr(regexp_replace(s, '^-|-$', '', 'g'), 1, 60) AS slug, substr(s, 1, 40) AS raw_slug FROM s"""),
-    "normalise_name": (normalise_name, "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 100)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS name FROM conversations"),
+    "normalise_name": (normalise_name, "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS name FROM conversations"),
     "first_sentence": (first_sentence, """WITH f AS (SELECT conv_id, turn, text, trim(regexp_extract(text, '^[^\\n]*?[.!?](\\s|$)'), ' ') AS s FROM conversations)
         SELECT conv_id, turn, CASE WHEN rtrim(s, chr(10) || ' ') <> '' THEN s WHEN length(text) <= 150 THEN text ELSE substr(text, 1, 149) || '…' END AS sentence FROM f"""),
     "truncate_at_word": (truncate_at_word, "SELECT doc_id, md5(CASE WHEN length(text) > 150 THEN regexp_replace(substr(text, 1, 150), '\\s+\\S*$', '') || '…' ELSE text END) AS cut FROM documents"),
@@ -192,8 +213,8 @@ QUERIES = {
     "parse_edge_spec": (parse_edge_spec, "SELECT o_orderkey, 'o' || o_orderkey AS target, o_orderstatus AS type, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ':x' ELSE '' END AS context FROM orders"),
     "event_ids": (event_ids, f"SELECT event_id, 'event-' || strftime(ts, '%Y-%m-%d') || '-' || right(CAST(epoch_us(ts) // 1000 AS VARCHAR), 4) AS name, round(({V.AS_OF_MS} - epoch_us(ts) // 1000) / 3600000.0, 10) AS hours FROM events"),
     "content_words": (content_words, "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4))), ' ') AS words FROM benchmark"),
-    "name_mentions": (name_mentions, """WITH n AS (SELECT * FROM (VALUES (1, 'the', 'the'), (2, 'que', 'que'), (3, 'und die', 'und'), (4, 'ea', 'ea')) v(name_id, name, w))
-        SELECT conv_id || ':' || turn AS id, CAST(name_id AS BIGINT) AS name_id FROM conversations, n WHERE contains(lower(text), name) AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), w)"""),
+    "name_mentions": (name_mentions, """WITH n AS (SELECT * FROM (VALUES (1, 'the'), (2, 'que'), (3, 'und die'), (4, 'ea')) v(name_id, name))
+        SELECT conv_id || ':' || turn AS id, CAST(name_id AS BIGINT) AS name_id FROM conversations, n WHERE contains(lower(text), name)"""),
     "session_entries": (session_entries, """WITH m AS (SELECT * FROM conversations WHERE turn <> 4) SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, md5(text) AS content,
         CASE WHEN turn % 2 = 1 THEN 't' END AS tool_name, CAST(ceil(length(text) / 4.0) AS BIGINT) + CASE WHEN turn % 2 = 1 THEN 2 ELSE 0 END + 10 AS tokens FROM m"""),
     "fold_topics": (fold_topics, None),
@@ -201,6 +222,10 @@ QUERIES = {
     "fold_constrained": (fold_constrained, None),
     "fold_bounded": (fold_bounded, None),
     "replay_fold": (replay_fold, None),
-    "replay_summary": (replay_summary, None),
+    "replay_bounded": (replay_bounded, None),
+    "replay_points": (replay_points, None),
+    "replay_summary": (replay_summary, """SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS folds, round(avg(length(props) * 100 / greatest(event_id % 90, 1)), 6) AS mean_compression, arg_max(event_id % 90, event_id) AS steady_tokens,
+        round(sum(length(props) * 10 * 0.00001 + event_id % 7 * 0.00003), 9) AS cost_usd FROM events GROUP BY user_id"""),
+    "serialised_blocks": (serialised_blocks, """SELECT conv_id, turn, md5(text || chr(10) || '[tool: n] {}' || chr(10) || '[result] ' || substr(text, 1, 300)) AS shown FROM conversations"""),
     "fold_evaluation": (fold_evaluation, None),
 }

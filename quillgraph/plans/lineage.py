@@ -60,6 +60,12 @@ class Scratch:
         remove(self.spark, self.path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is; a missing one is no error."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

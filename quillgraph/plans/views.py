@@ -115,7 +115,8 @@ def vector_edges_sql(threshold: float = 0.4) -> str:
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select((F.col("vec_id") + 1).alias("node_id"), "embedding")
+    """Each vector is another name of the next id."""
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("node_id"), "embedding")
 
 
 def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +205,8 @@ STRATEGIES, RETAINED, THRESHOLDS, REPS = ["s3", "s5", "s9", "s9-v3"], [10000, 20
 
 
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fortieth conversation as a session of the experiment."""
-    return table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 40 = 0").select(F.col("conv_id").alias("session_id"))
+    """Every conversation as a session of the experiment."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,7 +48,10 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
 
 def daily_logs(spark: SparkSession, path: str, as_of: str, days: int = 7) -> DataFrame:
     """Bullets of files named by date, of the last ``days``; entries under ten characters only take up a number."""
-    files = spark.read.text(path, wholetext=True).withColumn("date", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.md$", 1))
+    # older files are not even listed; dates to come count as recent
+    first = dt.date.fromisoformat(as_of[:10]) - dt.timedelta(days=days)
+    names = [str(first + dt.timedelta(days=i)) for i in range(days + 1)] + [f"{y}-*" for y in range(first.year + 1, first.year + 3)] + [f"{first.year}-{m:02d}-*" for m in range(first.month, 13)]
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{{{','.join(names)}}}.md").withColumn("date", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.md$", 1))
     recent = files.where((F.col("date") != "") & (F.try_to_date("date") >= F.date_sub(F.to_date(F.lit(as_of)), days)))
     bullets = F.transform(F.filter(F.split("value", r"\r?\n"), lambda s: F.startswith(s, F.lit("- "))), lambda s: F.trim(F.substring(s, F.lit(3), F.length(s))))
     each = recent.select("date", F.posexplode(bullets).alias("n", "text")).where(F.length("text") >= 10)
@@ -72,10 +76,27 @@ def import_all(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]])
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """``(id, name_id)``: texts ``(id, content)`` that hold a dictionary name ``(name_id, name)``.
+    """``(id, name_id)``: texts ``(id, content)`` that hold a dictionary name ``(name_id, name)`` anywhere, in any case.
 
-    Names are matched through their first word, an equi-join on the texts' words, and then whole.
+    A name's first three characters (or all it has) are looked up among the texts' pieces of that
+    length, an equi-join, and then the whole name. Empty names are in no text.
     """
-    words = texts.select("id", "content", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"))).alias("w"))
-    keyed = names.withColumn("w", F.try_element_at(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}_]+"), lambda t: t != ""), F.lit(1)))
-    return words.join(keyed, "w").where(F.contains(F.lower("content"), F.lower("name"))).select("id", "name_id").distinct()
+    low = F.lower("content")
+    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keyed = names.where(F.length("name") > 0).select("name_id", F.lower("name").alias("_name")).withColumn("_key", F.substring("_name", 1, 3))
+    each = texts.select("id", low.alias("_text"), F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("_key"))
+    wanted = keyed.select("_key").distinct()
+    return each.join(wanted, "_key", "left_semi").join(keyed, "_key").where(F.contains("_text", "_name")).select("id", "name_id").distinct()
+
+
+def literal_nodes(spark: SparkSession, rows: list[tuple], as_of_ms: int) -> DataFrame:
+    """Nodes written out in code: ``(id, type, name, content)`` tuples as a node table, created at one time."""
+    given = spark.createDataFrame(rows, "id string, type string, name string, content string")
+    empty = {"source": F.lit("literal"), "tags": F.array().cast("array<string>"), "status": F.lit(None).cast("string"), "created_at": F.lit(as_of_ms).cast("long")}
+    return given.withColumns(empty)
+
+
+def literal_edges(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Relations written out in code: ``(source, target, type, weight)`` tuples, the last of a key counts."""
+    last = {r[:3]: r for r in rows}
+    return spark.createDataFrame(list(last.values()), "source string, target string, type string, weight double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     both = F.coalesce(F.from_json("value", f"struct<sessions:array<{item}>>")["sessions"], F.from_json("value", f"array<{item}>"))
     return whole.select(F.explode(both).alias("s")).select("s.*")
+
+
+def with_prefix(rows: DataFrame, prefixes: list[str], session: str = "session_id") -> DataFrame:
+    """Rows whose session's name starts with any of the prefixes; no prefixes keep all."""
+    if not prefixes:
+        return rows
+    return rows.where(reduce(Column.__or__, (F.col(session).cast("string").startswith(p) for p in prefixes)))

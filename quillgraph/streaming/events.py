@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.operators import fold
+from quillgraph.plans.lineage import exists, remove
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -27,9 +28,11 @@ def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 day") -> Dat
 
 
 def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Counts and different users by overlapping window. On a table users are exact, on a stream, which can't keep them all, approximate."""
+    users = F.approx_count_distinct("user_id") if events.isStreaming else F.count_distinct("user_id")
     return (
         events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w"))
-        .agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
+        .agg(F.count("*").alias("n"), users.alias("users"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "users")
     )
 
@@ -64,16 +67,27 @@ def log_searches(results: DataFrame, path: str, date: str) -> None:
 
 
 def upsert_counts(spark: SparkSession, folder: str):
-    """A ``foreachBatch`` writer that merges access counts into a table of versions, the newest batch last."""
+    """A ``foreachBatch`` writer that merges access counts into a table of versions.
+
+    Each batch adds to the latest version before it and then writes its number to ``latest``; a batch
+    that is run again replaces its own version. Versions before the last two go.
+    """
+    pointers = f"{folder}/latest"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        known = [r["batch"] for r in session.read.schema("batch long").json(pointers).distinct().collect()] if exists(session, pointers) else []
+        earlier = sorted(b for b in known if b < batch_id)  # one number a batch
         new = access_counts(batch)
-        if batch_id:
-            new = new.unionByName(spark.read.parquet(f"{folder}/{batch_id - 1}")).groupBy("user_id").agg(
+        if earlier:
+            new = new.unionByName(session.read.parquet(f"{folder}/{earlier[-1]}")).groupBy("user_id").agg(
                 F.sum("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"),
                 F.sum("helpful_count").alias("helpful_count"), F.sum("harmful_count").alias("harmful_count"),
             )
         new.write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+        session.createDataFrame([(b,) for b in (*earlier[-1:], batch_id)], "batch long").coalesce(1).write.mode("overwrite").json(pointers)
+        for old in earlier[:-1]:
+            remove(session, f"{folder}/{old}")
 
     return write
 
