@@ -15,7 +15,15 @@ from quillgraph.plans.lineage import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most, for tables of long texts; Spark's own 10,000 would be hundreds of MB in a worker.
+BATCH_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name; from then on the session's Arrow batches have ``BATCH_ROWS`` rows at most."""
+    set_rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if set_rows <= 0 or set_rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,8 +47,9 @@ FILTER_BITS = 1 << 24
 class Maybe:
     """A Bloom filter over a column of keys: says of every wanted key that it is in, and of few others."""
 
-    def __init__(self, wanted: DataFrame, key: str):
-        at = lambda shift: F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND(F.lit(FILTER_BITS - 1))
+    def __init__(self, wanted: DataFrame, key: str, hashed: bool = False):
+        own = F.col(key) if hashed else F.xxhash64(key)
+        at = lambda shift: F.shiftrightunsigned(own, shift).bitwiseAND(F.lit(FILTER_BITS - 1))
         words = (
             wanted.select(F.explode(F.array(at(0), at(32))).alias("i")).groupBy(F.shiftright("i", 5).alias("word"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).toArrow()
@@ -51,15 +60,18 @@ class Maybe:
 
     def kept(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches whose last column is the key's xxhash64, without most unwanted rows and without that column."""
-        bits = np.frombuffer(self.sent.value, np.uint32)
         for batch in batches:
-            h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
-            keep = np.ones(len(h), bool)
-            for shift in (0, 32):
-                i = (h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
-                keep &= (bits[i >> np.uint64(5)] >> (i & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            keep = self.has(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether each of the hashes may be wanted."""
+        bits, keep = np.frombuffer(self.sent.value, np.uint32), np.ones(len(h), bool)
+        for shift in (0, 32):
+            i = (h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+            keep &= (bits[i >> np.uint64(5)] >> (i & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        return keep
+
 
 def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not among ``wanted``'s; none that is gets lost.

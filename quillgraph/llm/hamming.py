@@ -9,9 +9,8 @@ distance so far allows.
 
 from __future__ import annotations
 
-import json
 import math
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +23,20 @@ TOGETHER = 2
 
 
 def sign_code(vector: str) -> Column:
-    """Bit i is set if component i is above 0; null if the vector is. At most 64 components."""
+    """Bit i is set if component i is above 0; null if the vector is. More than 64 components are an error."""
     bits = F.transform(F.col(vector), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) > 64, F.raise_error(F.lit("codes have 64 bits; a vector has more components")).cast("long")).otherwise(code)
 
 
-def _masks(width: int, radius: int) -> Column:
-    """All ways to flip ``radius`` of ``width`` bits, as one literal."""
-    found = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-    return F.from_json(F.lit(json.dumps(found)), "array<bigint>")
+def _flipped(active: DataFrame, own: Column, width: int, radius: int) -> DataFrame:
+    """``(q, bound, val)``: ``own`` with each choice of ``radius`` of its ``width`` bits flipped, one bit after the other."""
+    out = active.select("q", "bound", own.alias("val"), F.lit(0).alias("next"))
+    for left in range(radius, 0, -1):
+        bit = F.explode(F.sequence(F.col("next"), F.lit(width - left)))
+        out = out.select("q", "bound", "val", bit.alias("bit"))
+        out = out.select("q", "bound", F.expr("val ^ shiftleft(1L, bit)").alias("val"), (F.col("bit") + 1).alias("next"))
+    return out.drop("next")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -70,8 +74,7 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
             radii = [r for t, r in step if t == s and r <= width]
             if not radii:
                 continue
-            flips = F.explode(F.concat(*(_masks(width, r) for r in radii))).alias("flip")
-            probes = active.select("q", "bound", value("q", at, width).alias("own"), flips).select("q", "bound", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
+            probes = reduce(DataFrame.unionAll, (_flipped(active, value("q", at, width), width, r) for r in radii))
             index = codes.select("code", "least", value("code", at, width).alias("val"))
             distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
             met = probes.join(index, "val").where(distance <= F.col("bound")).select("q", "code", "least", distance.alias("distance"))

@@ -9,17 +9,18 @@ seeded order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import WORD
 from quillgraph.plans.lineage import cut
 
-#: A source's seeded order is cut into parts of about so many rows, but no more parts than this;
-#: only one part of each source is looked at row by row.
-PART_ROWS, PARTS = 4096, 1024
+#: A source's seeded order is cut by so many leading bits of a hash at a time, until the part where its target is passed
+#: has no more rows than this; that part alone is looked at row by row. Rows alike in all bits are one unit.
+STEP, BITS, PART_ROWS = 8, 56, 4096
 
 
 def water_fill(sizes: list[float], weights: list[float], budget: float, max_epochs: float) -> list[float]:
@@ -45,6 +46,74 @@ def cycle_weights(sources: list, cycle: tuple = (5.0, 2.0, 1.0)) -> list[float]:
     return [float(cycle[i % len(cycle)]) for i in range(len(sources))]
 
 
+def seeded_order(seed: int, key: str, text: str) -> Column:
+    """A hash of the key and the text, by which a source's rows are drawn; repeated rows have the same."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+
+
+def _top(depth: str, h: str = "h") -> Column:
+    return F.expr(f"shiftrightunsigned({h}, 64 - {depth})")
+
+
+def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[list], list[float]]) -> tuple[DataFrame, DataFrame]:
+    """One row a source, ``(source, source_size, target, whole, depth, part)``, and what its part gives, ``(source, h)``.
+
+    Of a source's rows, those whose first ``depth`` bits are below ``part`` are drawn once more, and
+    in the part those that are listed. ``rows`` has ``(source, size, h)``.
+    """
+    spark = rows.sparkSession
+    sums = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = [s for _, s in sums]
+    targets = water_fill(sizes, weights([s for s, _ in sums]), share * sum(sizes), max_epochs)
+    whole = [min(int(t // n), int(max_epochs)) if n else 0 for n, t in zip(sizes, targets, strict=True)]
+    # for each source the part that its target falls into: bits, their value, and the words that are left for it
+    found = {s: (STEP, 0, int(round(t - w * n))) for (s, n), t, w in zip(sums, targets, whole, strict=True)}
+    open_parts, depth = {s: (0, r) for s, (_, _, r) in found.items() if r > 0}, 0
+    small: list[DataFrame] = []
+    while open_parts and depth < BITS:
+        state = spark.createDataFrame([(s, p, r) for s, (p, r) in open_parts.items()], "source string, part long, room long")
+        same = F.col("r.source").eqNullSafe(F.col("q.source"))
+        inside = rows.alias("r").join(F.broadcast(state.alias("q")), same if not depth else same & (_top(str(depth), "r.h") == F.col("q.part")))
+        inside = inside.select("r.source", "r.size", "r.h", "q.room")
+        depth += STEP
+        by_part = inside.groupBy("source", "room", _top(str(depth)).alias("part")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        edge = by_part.withColumn("upto", upto).where("upto > room").groupBy("source").agg(F.min_by(F.struct("part", "rows", (F.col("room") - F.col("upto") + F.col("n")).alias("left")), "part").alias("e"))
+        edges = {r["source"]: r["e"] for r in edge.collect()}
+        done = [(s, e["part"], e["left"]) for s, e in edges.items() if e["rows"] <= PART_ROWS]
+        found |= {s: (depth, e["part"], e["left"]) for s, e in edges.items()}
+        open_parts = {s: (e["part"], e["left"]) for s, e in edges.items() if e["rows"] > PART_ROWS}
+        if done:
+            state = spark.createDataFrame(done, "source string, part long, room long")
+            small.append(rows.alias("r").join(F.broadcast(state.alias("q")), same & (_top(str(depth), "r.h") == F.col("q.part"))).select("r.source", "r.size", "r.h", "q.room"))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        units = group.assign(order=group["h"].astype("uint64")).groupby("order").agg(h=("h", "first"), size=("size", "sum")).sort_index()
+        room, taken = int(group["room"].iloc[0]) if len(group) else 0, []
+        for h, n in zip(units["h"], units["size"], strict=True):
+            if 0 < n <= room:
+                taken.append(h)
+                room -= n
+        return pd.DataFrame({"source": [group["source"].iloc[0] if len(group) else None] * len(taken), "h": taken})
+
+    listed = spark.createDataFrame([], "source string, h long")
+    if small:
+        listed = cut(reduce(DataFrame.unionAll, small).groupBy("source").applyInPandas(fit, listed.schema))
+    plan = [(s, n, float(t), w, *found[s][:2]) for (s, n), t, w in zip(sums, targets, whole, strict=True)]
+    return spark.createDataFrame(plan, "source string, source_size long, target double, whole int, depth int, part long"), listed
+
+
+def _drawn(rows: DataFrame, plan: DataFrame, listed: DataFrame, more: str) -> DataFrame:
+    """``rows`` with the plan's columns and ``more``, 1 if a row is drawn once more; only rows of the parts are shuffled."""
+    spare = [c for c in ("source_size", "target", "whole") if c in plan.columns]
+    known = rows.alias("r").join(F.broadcast(plan.alias("q")), F.col("r.source").eqNullSafe(F.col("q.source")))
+    known = known.select("r.*", *(f"q.{c}" for c in spare), (_top("q.depth", "r.h") - F.col("q.part")).alias("off"))
+    rest = known.where("off <> 0").withColumn(more, ((F.col("off") < 0) & (F.col("size") > 0)).cast("int"))
+    at = known.where("off = 0").alias("k").join(listed.withColumn("hit", F.lit(1)).alias("t"), F.col("k.source").eqNullSafe(F.col("t.source")) & (F.col("k.h") == F.col("t.h")), "left")
+    return rest.unionByName(at.select("k.*", F.coalesce("t.hit", F.lit(0)).alias(more))).drop("off")
+
+
 def mix(
     docs: DataFrame,
     share: float = 1.5,
@@ -61,64 +130,38 @@ def mix(
     repetitions of its source plus one if the fraction takes it. The fraction takes documents in the
     order of a seeded hash up to the part where the target is passed, and in that part each one that
     still fits, so a source misses its target by less than its smallest document left out there.
-    Sizes are words; a null or blank text has 0 and comes with whole repetitions only. Rows that
-    repeat are drawn as one. An empty table gives no rows. Other columns are ignored. One row a source is
-    collected; no other size depends on the data.
+    Which ones depends on nothing but the source's own rows and its target. Sizes are words; a null
+    or blank text has 0 and comes with whole repetitions only. Rows that repeat are drawn together,
+    different texts of one key apart, rows without a key like any other. An empty table gives no
+    rows. Other columns are ignored. One row a source is collected; no other size depends on the data.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.xxhash64(F.lit(seed), F.col(key)) if seed is not None else F.xxhash64(F.col(key))
-    rows = docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("h"))
-    rows = cut(rows)
-    sums = [(r["source"], r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
-    sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [s for _, s, _ in sums]
-    targets = water_fill(sizes, weights([s for s, _, _ in sums]), share * sum(sizes), max_epochs)
-    parts = min(PARTS, 1 + max((n for _, _, n in sums), default=0) // PART_ROWS)
-    rows = rows.withColumn("part", (F.shiftrightunsigned("h", 44) * F.lit(parts) / F.lit(1 << 20)).cast("int"))
-
-    spark = docs.sparkSession
-    plan_rows = []
-    for (name, total, _), target in zip(sums, targets, strict=True):
-        whole = min(int(target // total), int(max_epochs)) if total else 0
-        plan_rows.append((name, total, float(target), whole, int(round(target - whole * total))))
-    sources = spark.createDataFrame(plan_rows, "source string, source_size long, target double, whole int, rest long")
-    # one row a source, so broadcast; the part where a source's rest is used up comes from sums by part
-    by_part = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
-    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    reach = by_part.withColumn("upto", F.sum("n").over(w)).alias("p")
-    reach = reach.join(F.broadcast(sources).alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")))
-    edge = (
-        reach.where("upto > rest").groupBy(F.col("s.source").alias("source"))
-        .agg(F.min("part").alias("edge"), F.min_by(F.col("rest") - (F.col("upto") - F.col("n")), "part").alias("room"))
-    )
-    plan = cut(
-        sources.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
-        .select("s.source", "source_size", "target", "whole", "edge", "room")
-    )
-    joined = rows.alias("r").join(F.broadcast(plan).alias("q"), F.col("r.source").eqNullSafe(F.col("q.source"))).select("r.*", "source_size", "target", "whole", "edge", "room")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", key, "size"], kind="stable").reset_index(drop=True)
-        room, more = int(group["room"].iloc[0]) if len(group) else 0, []
-        for n in group["size"]:
-            more.append(int(0 < n <= room))
-            room -= n if n <= room else 0
-        return group.assign(more=more)[[key, "source", "size", "source_size", "target", "whole", "more"]]
-
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, source string, size long, source_size long, target double, whole int, more int"
-    at_edge = joined.where("part = edge").groupBy("source").applyInPandas(fit, schema)
-    others = joined.where("edge is null or part <> edge").select(
-        key, "source", "size", "source_size", "target", "whole",
-        F.coalesce(((F.col("part") < F.col("edge")) & (F.col("size") > 0)).cast("int"), F.lit(0)).alias("more"),
-    )
+    rows = cut(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), seeded_order(seed, key, text).alias("h")))
+    out = _drawn(rows, *_draw(rows, share, max_epochs, weights), "more")
     copies = F.col("whole") + F.col("more")
-    return at_edge.unionByName(others).select(
-        key, "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    return out.select(key, "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, all columns kept."""
-    copies = mix(docs, **options).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    repeated = docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+def mixed(
+    docs: DataFrame,
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    weights: Callable[[list], list[float]] = cycle_weights,
+    seed: int = 42,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, all columns kept.
+
+    A row's copies follow from its own source, key and text, so rows without a key, repeated rows and
+    columns of any name do no harm, and no text is shuffled but those of the parts where targets are
+    passed. Blank texts come with whole repetitions only; an empty table gives no rows.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col(source).alias("source"), size.alias("size"), seeded_order(seed, key, text).alias("h")))
+    plan, listed = _draw(rows, share, max_epochs, weights)
+    filled = F.coalesce(F.col(text).rlike(WORD), F.lit(False)).cast("int")
+    held = docs.select(F.col(source).alias("source"), seeded_order(seed, key, text).alias("h"), filled.alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = _drawn(held, plan, listed, "more").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("whole") + F.col("more"))))
+    return out.select("row.*")

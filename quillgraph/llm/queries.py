@@ -46,9 +46,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(*toxicity.training_texts(docs, table(spark, sf_dir, "labels")))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    return toxicity.judge(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judge(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

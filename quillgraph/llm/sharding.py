@@ -79,6 +79,15 @@ def shard(docs: DataFrame, limit: int, keys: tuple = ("doc_id",), text: str = "t
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, keys: tuple = ("doc_id",), text: str = "text") -> None:
-    """Write ``docs`` with one folder a shard, ``shard_depth=d/shard_prefix=p``."""
-    where = shard(docs, limit, keys, text).select(*keys, "shard_depth", "shard_prefix").distinct()
-    docs.join(where, list(keys)).repartition("shard_depth", "shard_prefix").write.partitionBy("shard_depth", "shard_prefix").parquet(path)
+    """Write ``docs`` with one folder a shard, ``shard_depth=d/shard_prefix=p``.
+
+    Every row is written once: null keys and repeated rows are in the shard of their key. Columns of
+    the folders' names are replaced. A shard is dealt to tasks in parts by its texts, so a key that is
+    a shard of its own and over the limit has several files.
+    """
+    docs = docs.drop("shard_depth", "shard_prefix")
+    found = shard(docs, limit, keys, text).select(*keys, "shard_depth", "shard_prefix", "shard_bytes").distinct()
+    same = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"w.`{k}`")) for k in keys]
+    joined = docs.alias("d").join(found.alias("w"), same)
+    part = F.when(F.col("w.shard_bytes") > limit, F.pmod(F.xxhash64(f"d.`{text}`"), F.ceil(F.col("w.shard_bytes") / limit))).otherwise(F.lit(0))
+    joined.repartition("w.shard_depth", "w.shard_prefix", part).select("d.*", "w.shard_depth", "w.shard_prefix").write.partitionBy("shard_depth", "shard_prefix").parquet(path)

@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import raw_text, slices
+from quillgraph.llm.common import apart, raw_text, slices
 from quillgraph.operators.components import connected_components
-from quillgraph.plans.lineage import cut
+from quillgraph.plans.lineage import Scratch, cut
 
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 17
@@ -136,8 +136,16 @@ def near_duplicates(docs: DataFrame, bits: int = 4, segments: int = 3, shingle:
     return prints.join(group.join(named, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One whole row of each near-duplicate group: a row of its least key (repeated rows of it collapse)."""
-    groups = near_duplicates(docs, **options)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, bits: int = 4, segments: int = 3, shingle: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One whole row of each near-duplicate group, with its columns: the one of least key.
+
+    Rows without a key take part and come last in that order; different texts of one key are rows of
+    their own; of repeated rows and of texts without words one stays; an empty table gives none.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows, row = apart(docs, scratch, key, text)
+        groups = near_duplicates(rows, bits, segments, shingle, seed, row, text)
+        kept = cut(groups.where(F.col(row) == F.col("component_id")).select(row))
+        if row == key:
+            return docs.join(kept, key, "left_semi")
+        return cut(rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))

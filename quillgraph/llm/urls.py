@@ -154,36 +154,59 @@ def _as_sql(tree, names: list[str]) -> str:
     return f"CASE WHEN bin_{names[f]} <= {b} THEN {_as_sql(low, names)} ELSE {_as_sql(high, names)} END"
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id") -> DataFrame:
-    """``(key, host, path, rule, verdict, score)`` for every row.
-
-    URLs that a rule fits get its verdict and are the labelled URLs; all of them train the trees, as
-    counts by bins. The rest get ``block`` if the trees' probability of it is 0.5 or more. Suffix
-    statistics are each suffix's share of blocked labelled URLs, smoothed towards the overall share.
-    Null and empty urls, and urls without ``://``, have empty host and path and are judged by the
-    trees; without labelled URLs, or with one label only, the prior decides; rows that repeat come
-    out each time; an empty table gives none; other columns are ignored.
-    """
+def _prepared(pages: DataFrame, rules: list[tuple[str, str]], url: str, key: str) -> DataFrame:
+    """Host, path, what the rules say (``rule``, ``given``) and the binned features but the suffix share, once for all that follows."""
     host, path = host_and_path(url)
     base = pages.select(F.col(key), F.col(url).alias("url")).withColumns({"host": host, "path": path}).withColumn("found", match_rule(rules))
     base = features(base, "url").withColumns({"rule": F.col("found.rule"), "given": F.col("found.verdict")}).drop("found")
-    base = cut(base.withColumns({f"bin_{n}": _bin(n) for n in CUTS if n != "suffix_rate"}).drop(*(n for n in CUTS if n != "suffix_rate")))
+    return cut(base.withColumns({f"bin_{n}": _bin(n) for n in CUTS if n != "suffix_rate"}).drop(*(n for n in CUTS if n != "suffix_rate")))
+
+
+def _scored(base: DataFrame, trains: Column) -> DataFrame:
+    """``base`` with ``score``, the trees' probability of ``block``, fitted to the ruled rows that ``trains`` holds for.
+
+    A row's suffix share is that of its suffix's other hosts, so no row sees its own verdict or that
+    of a page beside it.
+    """
     blocked = (F.col("given") == "block").cast("double")
-    overall = base.where("given is not null").agg(F.avg(blocked).alias("r")).first()["r"]
+    known = base.where(F.col("given").isNotNull() & trains)
+    overall = known.agg(F.avg(blocked).alias("r")).first()["r"]
     overall = 0.0 if overall is None else overall
-    rates = base.where("given is not null").groupBy("suffix").agg(((F.sum(blocked) + PRIOR * overall) / (F.count("*") + PRIOR)).alias("suffix_rate"))
-    ready = base.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(overall)))
-    ready = ready.withColumn("bin_suffix_rate", _bin("suffix_rate"))
+    by_host = known.groupBy("suffix", "host").agg(F.sum(blocked).alias("own_b"), F.count("*").alias("own_n"))
+    by_suffix = by_host.groupBy("suffix").agg(F.sum("own_b").alias("all_b"), F.sum("own_n").alias("all_n"))
+    ready = base.join(by_suffix, "suffix", "left").join(by_host, ["suffix", "host"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    rate = (none("all_b") - none("own_b") + PRIOR * overall) / (none("all_n") - none("own_n") + PRIOR)
+    ready = ready.withColumn("suffix_rate", rate).withColumn("bin_suffix_rate", _bin("suffix_rate"))
     names = list(CUTS)
     bins = [f"bin_{n}" for n in names]
-    counted = ready.where("given is not null").groupBy(*bins).agg(F.count("*").alias("n"), F.sum(blocked).alias("b")).orderBy(*bins)
+    counted = ready.where(F.col("given").isNotNull() & trains).groupBy(*bins).agg(F.count("*").alias("n"), F.sum(blocked).alias("b")).orderBy(*bins)
     rows = [(tuple(r[b] for b in bins), r["n"] - r["b"], r["b"]) for r in counted.collect()]  # at most `most_rows()`
     prior, trees = boost(rows)
     logit = F.expr(" + ".join([f"{prior!r}D", *(f"({_as_sql(t, names)})" for t in trees)]))
-    score = 1 / (1 + F.exp(-logit))
-    return ready.select(
-        key, "host", "path", "rule", F.coalesce("given", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score")
-    )
+    return ready.withColumn("score", 1 / (1 + F.exp(-logit)))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id") -> DataFrame:
+    """``(key, host, path, rule, verdict, score)`` for every row.
+
+    URLs that a rule fits get its verdict and are the labelled URLs; all of them train the trees, as
+    counts by bins. The rest get ``block`` if the trees' probability of it is 0.5 or more. Suffix
+    statistics are the share of blocked URLs among the other hosts of a suffix, smoothed towards the
+    overall share. Null and empty urls, and urls without ``://``, have empty host and path and are
+    judged by the trees; without labelled URLs, or with one label only, the prior decides; rows that
+    repeat come out each time; an empty table gives none; other columns are ignored.
+    """
+    ready = _scored(_prepared(pages, rules, url, key), F.lit(True))
+    verdict = F.coalesce("given", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return ready.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def held_out_quality(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id", folds: int = 5) -> DataFrame:
+    """``(given, said, n)``: of the ruled URLs of every ``folds``-th host, by a hash, what trees say that never saw these hosts."""
+    held = F.pmod(F.xxhash64("host"), F.lit(folds)) == 0
+    ready = _scored(_prepared(pages, rules, url, key), ~held).where(F.col("given").isNotNull() & held)
+    return ready.groupBy("given", F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("said")).agg(F.count("*").alias("n"))
 
 
 def most_rows() -> int:
