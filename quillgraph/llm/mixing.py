@@ -90,12 +90,13 @@ def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[l
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         units = group.assign(order=group["h"].astype("uint64")).groupby("order").agg(h=("h", "first"), size=("size", "sum")).sort_index()
-        room, taken = int(group["room"].iloc[0]) if len(group) else 0, []
+        room, taken = int(group["room"].iloc[0]), []
         for h, n in zip(units["h"], units["size"], strict=True):
             if 0 < n <= room:
                 taken.append(h)
                 room -= n
-        return pd.DataFrame({"source": [group["source"].iloc[0] if len(group) else None] * len(taken), "h": taken})
+        name = None if pd.isna(group["source"].iloc[0]) else str(group["source"].iloc[0])
+        return pd.DataFrame({"source": pd.Series([name] * len(taken), dtype=object), "h": pd.Series(taken, dtype="int64")})
 
     listed = spark.createDataFrame([], "source string, h long")
     if small:
