@@ -215,3 +215,17 @@ def test_flips_are_all_choices_of_bits(spark):
     for radius in range(4):
         got = [r["val"] for r in hamming._flipped(active, F.col("q"), 6, radius).collect()]
         assert sorted(got) == sorted(x for x in range(64) if (x ^ 5).bit_count() == radius)
+
+
+# --- URL filters ------------------------------------------------------------------------------------------------------
+
+
+def test_trees_hold_on_hosts_that_they_never_saw(spark):
+    from quillgraph.llm import urls
+
+    rows = [(i, f"http://h{i % 60}.{'bad' if i % 60 % 3 == 0 else 'good'}{i % 4}.net/p{i}" + "?a=1&b=2&c=3" * (i % 60 % 3 == 0)) for i in range(1200)]
+    rules = [(f"h{k}.{'bad' if k % 3 == 0 else 'good'}{j}.net/", "block" if k % 3 == 0 else "allow") for k in range(60) for j in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {(r["given"], r["said"]): r["n"] for r in urls.held_out_quality(pages, rules).collect()}
+    assert sum(got.values()) > 100 and sum(n for (g, s), n in got.items() if g == s) >= 0.95 * sum(got.values())
+    assert urls.held_out_quality(pages.limit(0), rules).count() == 0
