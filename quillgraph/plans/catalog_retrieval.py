@@ -125,12 +125,10 @@ def mrr_by_setting(s, d):
 
     n, q = cut(V.text_nodes(s, d)), cut(V.text_queries(s, d))
     kinds = q.select("query_id").join(n.select(F.col("id").alias("query_id"), F.col("type").alias("query_type")), "query_id")
-    vector, keyword = cut(retrieval.vector_search(n, q, 10, 0.2)), cut(retrieval.keyword_search(n, q, 10))
-    ranked = None
-    for name, (v, k) in SETTINGS.items():
-        fused = retrieval.fuse([("vector", vector, v), ("keyword", keyword, k)]).where("score > 0")
-        part = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).withColumn("setting", F.lit(name))
-        ranked = part if ranked is None else ranked.unionAll(part)
+    both = retrieval.fuse([("vector", retrieval.vector_search(n, q, 10, 0.2), 1.0), ("keyword", retrieval.keyword_search(n, q, 10), 1.0)])
+    each = F.array(*(F.struct(F.lit(name).alias("setting"), F.round(F.col("vector") * v + F.col("keyword") * k, 9).alias("score")) for name, (v, k) in SETTINGS.items()))
+    scored = both.select("query_id", "id", F.explode(each).alias("s")).select("query_id", "id", "s.setting", "s.score").where("score > 0")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "id")))
     relevant = kinds.join(n.select("id", F.col("type").alias("query_type")), "query_type").select("query_id", "id")
     out = S.ranking_quality(ranked.join(kinds, "query_id"), relevant, ["setting", "query_type"])
     return out.select("setting", "query_type", R("mrr").alias("mrr"), R("mrr_at_k").alias("mrr_at_k"), "top_k", "queries")
@@ -279,8 +277,8 @@ QUERIES = {
         kinds AS (SELECT query_id, type FROM text_queries JOIN text_nodes ON id = query_id), signals AS ({_scaled('vector')} UNION ALL {_scaled('keyword')}),
         wide AS (SELECT query_id, id, coalesce(max(s) FILTER (signal = 'vector'), 0) AS v, coalesce(max(s) FILTER (signal = 'keyword'), 0) AS k FROM signals GROUP BY query_id, id),
         fused AS (SELECT setting, query_id, id, round(v * wv + k * wk, 9) AS score FROM wide, (VALUES ('vector', 1.0, 0.0), ('even', 0.5, 0.5), ('keyword', 0.0, 1.0)) t(setting, wv, wk) WHERE round(v * wv + k * wk, 9) > 0),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, id) AS rank FROM fused),
-        best AS (SELECT r.setting, r.query_id, q.type AS query_type, min(CASE WHEN n.type = q.type THEN rank END) AS best FROM ranked r JOIN kinds q ON q.query_id = r.query_id JOIN text_nodes n ON n.id = r.id GROUP BY ALL)
+        placed AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, id) AS rank FROM fused),
+        best AS (SELECT r.setting, r.query_id, q.type AS query_type, min(CASE WHEN n.type = q.type THEN rank END) AS best FROM placed r JOIN kinds q ON q.query_id = r.query_id JOIN text_nodes n ON n.id = r.id GROUP BY ALL)
         SELECT setting, query_type, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(CASE WHEN best <= 5 THEN 1.0 / best ELSE 0 END), 6) AS mrr_at_k, count(*) FILTER (best <= 5) AS top_k, count(*) AS queries FROM best GROUP BY ALL"""),
     "search_end_to_end": (search_end_to_end, None),
     "query_phrasings": (query_phrasings, f"""WITH {PHRASINGS_SQL.format(source='benchmark')}
