@@ -335,8 +335,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
                 found = [judge.evidence(words_of(x.as_py().decode("utf-8", "replace")))[:2] for x in batch.column(2)]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.float64()), pa.array([m for _, m in found], pa.float64()), batch.column(1)], ["total", "most", "toxic"])
 
-        rows = raw.mapInArrow(sums, "total double, most double, toxic int").orderBy("toxic", "total", "most").collect()
-        return calibrated(model, [(r["total"], r["most"], r["toxic"]) for r in rows])
+        rows = raw.mapInArrow(sums, "total double, most double, toxic int").collect()
+        return calibrated(model, sorted((r["total"], r["most"], r["toxic"]) for r in rows))
 
 
 def judge(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", with_spans: bool = True) -> DataFrame:
