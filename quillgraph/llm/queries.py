@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import fingerprints, hamming, mixing, packing, passages, pii, sharding, simhash, toxicity, urls
+from quillgraph.llm import fingerprints, hamming, mixing, packing, passages, pii, resampling, sharding, simhash, toxicity, urls
 from quillgraph.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -59,9 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_url_filters, op4_substring_dedup, op5_topk_search, op6_fingerprints, op7_pii, op8_toxicity, op9_simhash, op10_packing)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_url_filters, op4_substring_dedup, op5_topk_search, op6_fingerprints, op7_pii, op8_toxicity, op9_simhash, op10_packing, op13_importance_resampling)}
 
 ORACLES = {
+    "op13_importance_resampling": resampling.sql(),
     "op1_sharding": f"""
         WITH rows AS (
             SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
