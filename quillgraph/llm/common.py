@@ -47,14 +47,14 @@ FILTER_BITS = 1 << 24
 class Maybe:
     """A Bloom filter over a column of keys: says of every wanted key that it is in, and of few others."""
 
-    def __init__(self, wanted: DataFrame, key: str, hashed: bool = False):
-        own = F.col(key) if hashed else F.xxhash64(key)
-        at = lambda shift: F.shiftrightunsigned(own, shift).bitwiseAND(F.lit(FILTER_BITS - 1))
+    def __init__(self, wanted: DataFrame, key: str, hashed: bool = False, bits: int = FILTER_BITS):
+        own, self.bits = F.col(key) if hashed else F.xxhash64(key), bits
+        at = lambda shift: F.shiftrightunsigned(own, shift).bitwiseAND(F.lit(bits - 1))
         words = (
             wanted.select(F.explode(F.array(at(0), at(32))).alias("i")).groupBy(F.shiftright("i", 5).alias("word"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(i & 31 as int)))").alias("bits")).toArrow()
-        )  # at most FILTER_BITS / 32 rows, as numbers
-        filled = np.zeros(FILTER_BITS // 32, np.uint32)
+        )  # at most bits / 32 rows, as numbers
+        filled = np.zeros(bits // 32, np.uint32)
         filled[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
         self.sent = wanted.sparkSession.sparkContext.broadcast(filled.tobytes())
 
@@ -68,7 +68,7 @@ class Maybe:
         """Whether each of the hashes may be wanted."""
         bits, keep = np.frombuffer(self.sent.value, np.uint32), np.ones(len(h), bool)
         for shift in (0, 32):
-            i = (h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+            i = (h >> np.uint64(shift)) & np.uint64(self.bits - 1)
             keep &= (bits[i >> np.uint64(5)] >> (i & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
         return keep
 
