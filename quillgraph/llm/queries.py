@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import fingerprints, hamming, mixing, packing, passages, phrases, pii, resampling, sharding, simhash, toxicity, urls
+from quillgraph.llm import fingerprints, hamming, mixing, packing, passages, phrases, pii, resampling, sharding, simhash, suffixes, toxicity, urls
 from quillgraph.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_url_filters, op4_substring_dedup, op5_topk_search, op6_fingerprints, op7_pii, op8_toxicity, op9_simhash, op10_packing, op12_phrase_mining, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_url_filters, op4_substring_dedup, op5_topk_search, op6_fingerprints, op7_pii, op8_toxicity, op9_simhash, op10_packing, op11_suffix_dedup, op12_phrase_mining, op13_importance_resampling)}
 
 ORACLES = {
     "op12_phrase_mining": phrases.sql(),
