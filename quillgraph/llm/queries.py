@@ -74,6 +74,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_url_filters, op4_substring_dedup, op5_topk_search, op6_fingerprints, op7_pii, op8_toxicity, op9_simhash, op10_packing, op11_suffix_dedup, op12_phrase_mining, op13_importance_resampling)}
 
 ORACLES = {
+    "op11_suffix_dedup": suffixes.sql(),
     "op12_phrase_mining": phrases.sql(),
     "op13_importance_resampling": resampling.sql(),
     "op1_sharding": f"""

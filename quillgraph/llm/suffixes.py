@@ -346,3 +346,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         same = whole.select("key", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
         cleared = some.join(by_row, "row", "left").select("key", "text", "stretches").mapInArrow(_kept, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         return cut(same.select(*columns).unionByName(cleared.select(*columns)).withColumnRenamed("key", key))
+
+
+def sql(block: int = 128) -> str:
+    """The same over ``documents`` in DuckDB SQL, every window's MD5 grouped; texts are cut to blocks first, so that no long text is searched for an offset."""
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    blocks AS (SELECT doc_id, n, b, substr(x, 2 * {block} * b + 1, 2 * {block + WINDOW - 1}) AS y FROM (SELECT *, unnest(range((n + {block - 1}) // {block})) AS b FROM d)),
+    windows AS (SELECT doc_id, {block} * b + i AS p, md5_number(substr(y, 2 * i + 1, {2 * WINDOW})) AS s FROM (SELECT *, unnest(range({block})) AS i FROM blocks) WHERE {block} * b + i + {WINDOW} <= n),
+    firsts AS (SELECT s, min((doc_id, p)) AS first FROM windows GROUP BY s HAVING count(*) > 1),
+    again AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE (doc_id, p) <> first),
+    marks AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + {WINDOW}, true) AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    islands AS (SELECT doc_id, p, count_if(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marks),
+    spans AS (SELECT doc_id, k, min(p) AS lo, max(p) + {WINDOW} AS hi FROM islands GROUP BY doc_id, k),
+    pieces AS (SELECT spans.doc_id, k, lo, hi, substr(x, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS before FROM spans JOIN d USING (doc_id) WINDOW w AS (PARTITION BY spans.doc_id ORDER BY k)),
+    cleared AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, string_agg(before, '' ORDER BY k) AS head, max(hi) AS hi FROM pieces GROUP BY doc_id)
+    SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+        sha256(CASE WHEN hi IS NULL THEN unhex(x) ELSE unhex(head || substr(x, 2 * hi + 1)) END) AS kept_sha256 FROM d LEFT JOIN cleared USING (doc_id)"""
