@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import WORD
 from quillgraph.plans.lineage import cut
 
-#: A source's seeded order is cut by so many leading bits of a hash at a time, until the part where its target is passed
-#: has no more rows than this; that part alone is looked at row by row. Rows alike in all bits are one unit.
+#: A source's seeded order is cut by leading bits of a hash, as many as its rows ask for and so many at a time, until the part
+#: where its target is passed has no more rows than this; that part alone is looked at row by row, and a source of no more rows
+#: as a whole. Rows alike in all bits are one unit.
 STEP, BITS, PART_ROWS = 8, 56, 4096
 
 
@@ -52,7 +53,13 @@ def seeded_order(seed: int, key: str, text: str) -> Column:
 
 
 def _top(depth: str, h: str = "h") -> Column:
-    return F.expr(f"shiftrightunsigned({h}, 64 - {depth})")
+    """The first ``depth`` bits of a hash as a number."""
+    return F.expr(f"if({depth} = 0, 0L, shiftrightunsigned({h}, 64 - {depth}))")
+
+
+def _step(rows: int) -> int:
+    """Bits by which a part of so many rows is cut next, so that about half of ``PART_ROWS`` are left or ``STEP`` bits are used."""
+    return max(1, min(STEP, (2 * rows // PART_ROWS).bit_length()))
 
 
 def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[list], list[float]]) -> tuple[DataFrame, DataFrame]:
@@ -62,31 +69,46 @@ def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[l
     in the part those that are listed. ``rows`` has ``(source, size, h)``.
     """
     spark = rows.sparkSession
-    sums = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    sums = [(r["source"], r["size"], r["rows"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()]
     sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [s for _, s in sums]
-    targets = water_fill(sizes, weights([s for s, _ in sums]), share * sum(sizes), max_epochs)
-    whole = [min(int(t // n), int(max_epochs)) if n else 0 for n, t in zip(sizes, targets, strict=True)]
+    sizes = [n for _, n, _ in sums]
+    targets = water_fill(sizes, weights([s for s, _, _ in sums]), share * sum(sizes), max_epochs)
+    whole, found, open_parts, done = [], {}, {}, []
     # for each source the part that its target falls into: bits, their value, and the words that are left for it
-    found = {s: (STEP, 0, int(round(t - w * n))) for (s, n), t, w in zip(sums, targets, whole, strict=True)}
-    open_parts, depth = {s: (0, r) for s, (_, _, r) in found.items() if r > 0}, 0
+    for (s, n, count), t in zip(sums, targets, strict=True):
+        times = min(int(t // n), int(max_epochs)) if n else 0
+        room = int(round(t - times * n))
+        if n and room >= n:  # the target is, but for rounding, one more copy of everything
+            times, room = times + 1, 0
+        whole.append(times)
+        found[s] = (0, 0) if room > 0 and count <= PART_ROWS else (STEP, 0)
+        if room > 0 and count <= PART_ROWS:
+            done.append((s, 0, 0, room))
+        elif room > 0:
+            open_parts[s] = (0, 0, _step(count), room)
     small: list[DataFrame] = []
-    while open_parts and depth < BITS:
-        state = spark.createDataFrame([(s, p, r) for s, (p, r) in open_parts.items()], "source string, part long, room long")
-        same = F.col("r.source").eqNullSafe(F.col("q.source"))
-        inside = rows.alias("r").join(F.broadcast(state.alias("q")), same if not depth else same & (_top(str(depth), "r.h") == F.col("q.part")))
-        inside = inside.select("r.source", "r.size", "r.h", "q.room")
-        depth += STEP
-        by_part = inside.groupBy("source", "room", _top(str(depth)).alias("part")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    same = F.col("r.source").eqNullSafe(F.col("q.source"))
+    fields = "source string, depth int, part long, room long"
+
+    def listed_part(parts: list[tuple]) -> DataFrame:
+        state = spark.createDataFrame(parts, fields)
+        return rows.alias("r").join(F.broadcast(state.alias("q")), same & (_top("q.depth", "r.h") == F.col("q.part"))).select("r.source", "r.size", "r.h", "q.room")
+
+    while done or open_parts:
+        if done:
+            small.append(listed_part(done))
+        if not open_parts:
+            break
+        state = spark.createDataFrame([(s, d, p, r, step) for s, (d, p, step, r) in open_parts.items()], fields + ", step int")
+        inside = rows.alias("r").join(F.broadcast(state.alias("q")), same & (_top("q.depth", "r.h") == F.col("q.part")))
+        deeper = inside.select("r.source", "r.size", "q.room", (F.col("q.depth") + F.col("q.step")).alias("depth"), _top("(q.depth + q.step)", "r.h").alias("part"))
+        by_part = deeper.groupBy("source", "room", "depth", "part").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-        edge = by_part.withColumn("upto", upto).where("upto > room").groupBy("source").agg(F.min_by(F.struct("part", "rows", (F.col("room") - F.col("upto") + F.col("n")).alias("left")), "part").alias("e"))
+        edge = by_part.withColumn("upto", upto).where("upto > room").groupBy("source").agg(F.min_by(F.struct("depth", "part", "rows", (F.col("room") - F.col("upto") + F.col("n")).alias("left")), "part").alias("e"))
         edges = {r["source"]: r["e"] for r in edge.collect()}
-        done = [(s, e["part"], e["left"]) for s, e in edges.items() if e["rows"] <= PART_ROWS]
-        found |= {s: (depth, e["part"], e["left"]) for s, e in edges.items()}
-        open_parts = {s: (e["part"], e["left"]) for s, e in edges.items() if e["rows"] > PART_ROWS}
-        if done:
-            state = spark.createDataFrame(done, "source string, part long, room long")
-            small.append(rows.alias("r").join(F.broadcast(state.alias("q")), same & (_top(str(depth), "r.h") == F.col("q.part"))).select("r.source", "r.size", "r.h", "q.room"))
+        found |= {s: (e["depth"], e["part"]) for s, e in edges.items()}
+        done = [(s, e["depth"], e["part"], e["left"]) for s, e in edges.items() if e["rows"] <= PART_ROWS and e["left"] > 0]
+        open_parts = {s: (e["depth"], e["part"], min(_step(e["rows"]), BITS - e["depth"]), e["left"]) for s, e in edges.items() if e["rows"] > PART_ROWS and e["depth"] < BITS and e["left"] > 0}
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         units = group.assign(order=group["h"].astype("uint64")).groupby("order").agg(h=("h", "first"), size=("size", "sum")).sort_index()
@@ -101,7 +123,7 @@ def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[l
     listed = spark.createDataFrame([], "source string, h long")
     if small:
         listed = cut(reduce(DataFrame.unionAll, small).groupBy("source").applyInPandas(fit, listed.schema))
-    plan = [(s, n, float(t), w, *found[s][:2]) for (s, n), t, w in zip(sums, targets, whole, strict=True)]
+    plan = [(s, n, float(t), w, *found[s]) for (s, n, _), t, w in zip(sums, targets, whole, strict=True)]
     return spark.createDataFrame(plan, "source string, source_size long, target double, whole int, depth int, part long"), listed
 
 
@@ -130,7 +152,9 @@ def mix(
     ``weights`` gets the sources by code point, null last. A document's ``copies`` are the whole
     repetitions of its source plus one if the fraction takes it. The fraction takes documents in the
     order of a seeded hash up to the part where the target is passed, and in that part each one that
-    still fits, so a source misses its target by less than its smallest document left out there.
+    still fits, so a source misses its target (in whole words) by less than its smallest filled document
+    left out there. For a source of up to ``PART_ROWS`` rows that part is the whole source, else some
+    thousand rows. A target within half a word of a whole number of copies is that number of copies.
     Which ones depends on nothing but the source's own rows and its target. Sizes are words; a null
     or blank text has 0 and comes with whole repetitions only. Rows that repeat are drawn together,
     different texts of one key apart, rows without a key like any other. An empty table gives no
