@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from quillgraph.plans.lineage import cut
 #: where its target is passed has no more rows than this; that part alone is looked at row by row, and a source of no more rows
 #: as a whole. Rows alike in all bits are one unit.
 STEP, BITS, PART_ROWS = 8, 56, 4096
+#: Documents of that part that are put in another's place at most.
+SWAPS = 64
 
 
 def water_fill(sizes: list[float], weights: list[float], budget: float, max_epochs: float) -> list[float]:
@@ -62,6 +65,28 @@ def _step(rows: int) -> int:
     return max(1, min(STEP, (2 * rows // PART_ROWS).bit_length()))
 
 
+def chosen(sizes: np.ndarray, room: int) -> np.ndarray:
+    """Which of the sizes are taken: in order each that still fits; then one is put in another's place while that fills more."""
+    taken = np.zeros(len(sizes), bool)
+    for i, n in enumerate(sizes.tolist()):
+        if 0 < n <= room:
+            taken[i] = True
+            room -= n
+    for _ in range(SWAPS):
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken & (sizes > 0))
+        if not room or not len(inside) or not len(outside):
+            break
+        outside = outside[np.argsort(sizes[outside], kind="stable")]
+        at = np.searchsorted(sizes[outside], sizes[inside] + room, "right") - 1  # the largest that fits in each one's place
+        gain = np.where(at >= 0, sizes[outside[np.maximum(at, 0)]] - sizes[inside], 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            break
+        taken[inside[best]], taken[outside[at[best]]] = False, True
+        room -= int(gain[best])
+    return taken
+
+
 def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[list], list[float]]) -> tuple[DataFrame, DataFrame]:
     """One row a source, ``(source, source_size, target, whole, depth, part)``, and what its part gives, ``(source, h)``.
 
@@ -112,13 +137,9 @@ def _draw(rows: DataFrame, share: float, max_epochs: float, weights: Callable[[l
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         units = group.assign(order=group["h"].astype("uint64")).groupby("order").agg(h=("h", "first"), size=("size", "sum")).sort_index()
-        room, taken = int(group["room"].iloc[0]), []
-        for h, n in zip(units["h"], units["size"], strict=True):
-            if 0 < n <= room:
-                taken.append(h)
-                room -= n
+        taken = chosen(units["size"].to_numpy(), int(group["room"].iloc[0]))
         name = None if pd.isna(group["source"].iloc[0]) else str(group["source"].iloc[0])
-        return pd.DataFrame({"source": pd.Series([name] * len(taken), dtype=object), "h": pd.Series(taken, dtype="int64")})
+        return pd.DataFrame({"source": pd.Series([name] * int(taken.sum()), dtype=object), "h": units["h"].to_numpy()[taken].astype("int64")})
 
     listed = spark.createDataFrame([], "source string, h long")
     if small:
@@ -152,8 +173,8 @@ def mix(
     ``weights`` gets the sources by code point, null last. A document's ``copies`` are the whole
     repetitions of its source plus one if the fraction takes it. The fraction takes documents in the
     order of a seeded hash up to the part where the target is passed, and in that part each one that
-    still fits, so a source misses its target (in whole words) by less than its smallest filled document
-    left out there. For a source of up to ``PART_ROWS`` rows that part is the whole source, else some
+    still fits; then some give way to others that fill more. So a source misses its target (in whole
+    words) by less than its smallest filled document left out there. For a source of up to ``PART_ROWS`` rows that part is the whole source, else some
     thousand rows. A target within half a word of a whole number of copies is that number of copies.
     Which ones depends on nothing but the source's own rows and its target. Sizes are words; a null
     or blank text has 0 and comes with whole repetitions only. Rows that repeat are drawn together,
