@@ -35,7 +35,7 @@ def _matrix(vectors: list, size: int) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)[:, None]
 
 
-def _dense(column: pa.Array, size: int) -> np.ndarray:
+def unit_rows(column: pa.Array, size: int) -> np.ndarray:
     """Unit rows of an Arrow list column, as ``_matrix`` makes them; lists of one length are taken as they lie."""
     starts = column.offsets.to_numpy()
     if not column.null_count and not column.values.null_count and len(starts) > 1 and (np.diff(starts) == size).all():
@@ -74,7 +74,7 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
                     part = batch.slice(lo, ROW_BLOCK)
                     keys = part.column(0).to_pylist()
                     for n, (at, m) in asked.items():
-                        scores = m @ _dense(part.column(1), n).T
+                        scores = m @ unit_rows(part.column(1), n).T
                         for j, i in enumerate(at):
                             row = scores[j]
                             hit = np.flatnonzero(row >= min_score)
@@ -99,35 +99,3 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
         found = found.unionAll(more)
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
-
-
-def similar_pairs(nodes: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
-    """``(a, b, score)`` with ``a < b`` for all pairs of cosine at least ``threshold``, exactly.
-
-    Rows are dealt to blocks and each pair of blocks is one task's matrix product; comparing all
-    pairs is quadratic work whatever the engine, and only pairs over the threshold leave a task.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    blocks = max(1, -(-nodes.count() // block_rows))
-    kind = nodes.schema[key].dataType
-    dealt = nodes.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    spread = dealt.withColumn("p", F.explode(others)).select("k", "v", "own", "p.i", "p.j")
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        keys, vectors, own = table.column("k").to_pylist(), table.column("v").combine_chunks(), table.column("own").to_numpy()
-        m = _dense(vectors, int(np.diff(vectors.offsets.to_numpy()).max(initial=0)))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.nonzero(m[left] @ m[right].T >= threshold - 1e-12)
-        rows = set()
-        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
-            if keys[p] != keys[q] and (i != j or keys[p] < keys[q]):
-                s = float(m[p] @ m[q])
-                if s >= threshold:
-                    rows.add((min(keys[p], keys[q]), max(keys[p], keys[q]), s))
-        a, b, s = zip(*sorted(rows), strict=True) if rows else ([],) * 3
-        return pa.table([pa.array(a, to_arrow_type(kind)), pa.array(b, to_arrow_type(kind)), pa.array(s, pa.float64())], ["a", "b", "score"])
-
-    return spread.groupBy("i", "j").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")

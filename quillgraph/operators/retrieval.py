@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import normalise_name, phrasings, query_tokens
 from quillgraph.functions.vector import top_k
 from quillgraph.operators.graph import demote_superseded, endpoints, spreading_activation
+from quillgraph.operators.similarity import similar_between
 from quillgraph.plans.lineage import cut
 
 #: BM25's usual constants; a name counts ten times as much as content.
@@ -221,8 +222,8 @@ def dedup_decisions(new: DataFrame, known: DataFrame, skip: float = 0.97, warn:
     n = new.select("id", normalise_name(F.col("name")).alias("norm")).where("norm <> ''")
     k = known.select(F.col("id").alias("other"), normalise_name(F.col("name")).alias("norm"))
     name = n.join(k, "norm").where("id <> other").groupBy("id").agg(F.min("other").alias("matched")).select("id", F.lit(1).alias("level"), F.lit("name").alias("decision"), "matched", F.lit(1.0).alias("score"))
-    near = top_k(known, new.select(F.col("id").alias("query_id"), "embedding"), 2, warn).where("query_id <> id")
-    near = top(near, 1).select(F.col("query_id").alias("id"), F.lit(2).alias("level"), F.when(F.col("score") >= skip, "skip").otherwise("warn").alias("decision"), F.col("id").alias("matched"), "score")
+    near = similar_between(new, known, warn).where("a <> b").groupBy(F.col("a").alias("id")).agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("m"))
+    near = near.select("id", F.lit(2).alias("level"), F.when(F.col("m.score") >= skip, "skip").otherwise("warn").alias("decision"), F.col("m.b").alias("matched"), "m.score")
     found = exact.unionAll(name).unionAll(near).groupBy("id").agg(F.min_by(F.struct("decision", "matched", "score"), "level").alias("d"))
     return new.select("id").join(found, "id", "left").select("id", F.coalesce("d.decision", F.lit("add")).alias("decision"), "d.matched", "d.score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions.porter import porter
 from quillgraph.functions.vector import cosine
-from quillgraph.operators import lifecycle, retrieval
+from quillgraph.operators import lifecycle, retrieval, similarity
 from quillgraph.operators import statistics as S
 from quillgraph.plans import views as V
 from quillgraph.plans.catalog_graph import ACTIVATION_SQL
@@ -185,6 +185,11 @@ def dedup_semantic(s, d):
     return retrieval.dedup_decisions(new, known, skip=0.45, warn=0.40).select("id", "decision", "matched", R("score").alias("score"))
 
 
+def similar_pairs(s, d):
+    """All pairs of vectors at 0.35 or more; a pair's score is rounded, its membership is not."""
+    return similarity.similar_pairs(V.vectors(s, d), 0.35).select("a", "b", R("score").alias("score"))
+
+
 def similarity_to_prev_turn(s, d):
     from pyspark.sql import Window
 
@@ -298,6 +303,8 @@ QUERIES = {
                 QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY list_cosine_similarity(n.v, k.v) DESC, k.id) = 1)),
         b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY level) = 1)
         SELECT n.id, coalesce(b.decision, 'add') AS decision, b.matched, round(b.score, 6) AS score FROM new n LEFT JOIN b ON n.id = b.id"""),
+    "similar_pairs": (similar_pairs, f"""WITH {V.VECTORS_SQL} SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score
+        FROM vectors x JOIN vectors y ON x.id < y.id AND list_cosine_similarity(x.v, y.v) >= 0.35"""),
     "similarity_to_prev_turn": (similarity_to_prev_turn, f"""WITH {V.VECTORS_SQL}, l AS (SELECT id, v, lag(v, 1) OVER w AS p1, lag(v, 2) OVER w AS p2 FROM vectors WINDOW w AS (PARTITION BY type ORDER BY id))
         SELECT id, round(list_cosine_similarity(v, p1), 6) AS to_last, round(list_cosine_similarity(v, p2), 6) AS to_second_last FROM l"""),
     "embed_texts": (embed_texts, None),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import tokens_ceil
-from quillgraph.functions.vector import similar_pairs
+from quillgraph.operators.similarity import similar_pairs
 
 #: 1995-01-01, for rows without a time of their own; 2024-01-31, the time that decay queries run at.
 EPOCH_MS, AS_OF_MS = 788918400000, 1706659200000

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.functions.porter import stem
-from quillgraph.functions.vector import cosine, similar_pairs, top_k
+from quillgraph.functions.vector import cosine, top_k
 from quillgraph.operators import fold, transcript
+from quillgraph.operators.similarity import similar_pairs
 from quillgraph.sources import markdown, models, sessions
 
 
