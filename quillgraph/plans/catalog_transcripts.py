@@ -8,7 +8,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import fold
 from quillgraph.operators import transcript as X
 from quillgraph.plans import views as V
-from quillgraph.sources import markdown, sessions
+from quillgraph.sources import mentions, sessions
 
 R = lambda c, n=6: F.round(c, n)
 M = f"WITH {V.MESSAGES_SQL}"
@@ -114,7 +114,24 @@ def content_words(s, d):
 
 def name_mentions(s, d):
     names = s.createDataFrame([(1, "the"), (2, "que"), (3, "und die"), (4, "ea")], "name_id long, name string")
-    return markdown.mentions(V.table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("content")), names)
+    return mentions.mentions(V.table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("content")), names)
+
+
+def _dictionary(s, d):
+    """The benchmark's words of eight letters or more; a word's id is its first five letters, so ids have several names."""
+    words = V.table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where("length(name) >= 8").distinct()
+    return words.select(F.substring("name", 1, 5).alias("name_id"), "name")
+
+
+def dictionary_mentions(s, d):
+    """Words of the benchmark in whole documents, at any place in other words."""
+    return mentions.mentions(V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), _dictionary(s, d))
+
+
+def mention_edges(s, d):
+    """How many texts each name of the benchmark's dictionary is in, over the edges that mentions make."""
+    found = mentions.mentions(V.table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("content")), _dictionary(s, d))
+    return mentions.mention_edges(found).groupBy("target", "type", "context").agg(F.count("*").alias("n"), F.min("source").alias("first"))
 
 
 def session_entries(s, d):
@@ -181,6 +198,9 @@ def serialised_blocks(s, d):
 _SNAP = "r AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY idx) AS upto FROM messages)"
 _BACK = "b AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY idx DESC) AS back, count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY idx DESC) AS u FROM messages)"
 _MD5_CUT = "substr(text, 1, 150)"
+DICTIONARY_SQL = """words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark),
+    names AS MATERIALIZED (SELECT substr(name, 1, 5) AS name_id, name FROM words WHERE length(name) >= 8)"""
+
 QUERIES = {
     "token_estimate": (token_estimate, "SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) + 10 AS with_cost, CAST(floor(length(coalesce(text, '')) / 4.0 + 0.5) AS BIGINT) AS text_only FROM conversations"),
     "session_totals": (session_totals, f"{M} SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n FROM messages GROUP BY session_id"),
@@ -215,6 +235,9 @@ QUERIES = {
     "content_words": (content_words, "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4))), ' ') AS words FROM benchmark"),
     "name_mentions": (name_mentions, """WITH n AS (SELECT * FROM (VALUES (1, 'the'), (2, 'que'), (3, 'und die'), (4, 'ea')) v(name_id, name))
         SELECT conv_id || ':' || turn AS id, CAST(name_id AS BIGINT) AS name_id FROM conversations, n WHERE contains(lower(text), name)"""),
+    "dictionary_mentions": (dictionary_mentions, f"""WITH {DICTIONARY_SQL} SELECT DISTINCT doc_id AS id, name_id FROM documents, names WHERE contains(lower(text), name)"""),
+    "mention_edges": (mention_edges, f"""WITH {DICTIONARY_SQL}, found AS (SELECT DISTINCT conv_id || ':' || turn AS id, name_id FROM conversations, names WHERE contains(lower(text), name))
+        SELECT name_id AS target, 'derived_from' AS type, 'Lesson derived from ' || name_id AS context, count(*) AS n, min(id) AS first FROM found GROUP BY name_id"""),
     "session_entries": (session_entries, """WITH m AS (SELECT * FROM conversations WHERE turn <> 4) SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, md5(text) AS content,
         CASE WHEN turn % 2 = 1 THEN 't' END AS tool_name, CAST(ceil(length(text) / 4.0) AS BIGINT) + CASE WHEN turn % 2 = 1 THEN 2 ELSE 0 END + 10 AS tokens FROM m"""),
     "fold_topics": (fold_topics, None),

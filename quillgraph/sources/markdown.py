@@ -75,20 +75,6 @@ def import_all(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]])
     return good, spark.createDataFrame(errors, "source string, error string")
 
 
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """``(id, name_id)``: texts ``(id, content)`` that hold a dictionary name ``(name_id, name)`` anywhere, in any case.
-
-    A name's first three characters (or all it has) are looked up among the texts' pieces of that
-    length, an equi-join, and then the whole name. Empty names are in no text.
-    """
-    low = F.lower("content")
-    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    keyed = names.where(F.length("name") > 0).select("name_id", F.lower("name").alias("_name")).withColumn("_key", F.substring("_name", 1, 3))
-    each = texts.select("id", low.alias("_text"), F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("_key"))
-    wanted = keyed.select("_key").distinct()
-    return each.join(wanted, "_key", "left_semi").join(keyed, "_key").where(F.contains("_text", "_name")).select("id", "name_id").distinct()
-
-
 def literal_nodes(spark: SparkSession, rows: list[tuple], as_of_ms: int) -> DataFrame:
     """Nodes written out in code: ``(id, type, name, content)`` tuples as a node table, created at one time."""
     given = spark.createDataFrame(rows, "id string, type string, name string, content string")

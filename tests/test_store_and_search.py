@@ -11,7 +11,7 @@ from quillgraph.functions.porter import porter
 from quillgraph.operators import fold, graph, lifecycle, matrix, retrieval, statistics
 from quillgraph.operators.store import GraphStore
 from quillgraph.plans.lineage import Scratch, cut, exists
-from quillgraph.sources import files, markdown, models
+from quillgraph.sources import files, markdown, mentions, models
 
 NODES = "id string, type string, name string, content string, weight double, created_at long"
 EDGES = "source string, target string, type string, weight double"
@@ -151,7 +151,7 @@ def test_average_ranks(spark):
 def test_names_anywhere_in_a_text(spark):
     texts = spark.createDataFrame([(1, "Über-Brücken und Tee"), (2, "cat"), (3, None), (4, "a")], "id long, content string")
     names = spark.createDataFrame([(1, "brück"), (2, "AT"), (3, "a"), (4, ""), (5, "tee x")], "name_id long, name string")
-    got = {(r["id"], r["name_id"]) for r in markdown.mentions(texts, names).collect()}
+    got = {(r["id"], r["name_id"]) for r in mentions.mentions(texts, names).collect()}
     assert got == {(1, 1), (2, 2), (2, 3), (4, 3)}
 
 
