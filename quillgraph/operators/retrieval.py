@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from quillgraph.operators.graph import demote_superseded, endpoints, spreading_a
 from quillgraph.operators.similarity import similar_between
 from quillgraph.plans.lineage import cut
 
+if TYPE_CHECKING:
+    from quillgraph.operators.inverted import InvertedIndex
+
 #: BM25's usual constants; a name counts ten times as much as content.
 K1, B, NAME_WEIGHT = 1.2, 0.75, 10.0
 
@@ -84,23 +89,25 @@ def matching_terms(terms: DataFrame, words: DataFrame, prefix: bool = False, ste
 
 
 def keyword_search(
-    nodes: DataFrame, queries: DataFrame, limit: int = 10, prefix: bool = False, types: list | None = None, stem=None, index: tuple[DataFrame, DataFrame] | None = None
+    nodes: DataFrame, queries: DataFrame, limit: int = 10, prefix: bool = False, types: list | None = None, stem=None, index: InvertedIndex | None = None
 ) -> DataFrame:
     """``(query_id, id, bm25, score)`` for queries ``(query_id, query)``.
 
     A document matches if it has any of a query's words (or words that start with one, if
     ``prefix``). Document frequencies are of phrases over all nodes; name and content share one length.
     ``score`` maps the ``limit`` best of a query to 0.3 to 0.9, 0.9 if they are all equal. ``stem``
-    is a column function applied to both sides. ``types`` filters results, not statistics. ``index``
-    is what ``postings`` made of the nodes; without it they are read here, and only the queries'
-    words of them are shuffled.
+    is a column function applied to both sides. ``types`` filters results, not statistics. With an
+    ``index`` of the nodes only the ranges of postings are read that can bring a hit (``prefix`` and
+    ``stem`` read all of a word's); without it the texts are, and only the queries' words are shuffled.
     """
+    if index is not None and not prefix and stem is None:
+        return index.search(queries, limit, types, nodes)
     asked = queries.select("query_id", F.explode(F.array_distinct(query_tokens(F.col("query")))).alias("q"))
     asked = asked.withColumn("q", F.explode(F.filter(F.split("q", "[^a-z0-9]+"), lambda t: t != ""))).distinct()
     if stem is not None:
         asked = asked.withColumn("q", stem(F.col("q"))).distinct()
     asked = cut(asked)
-    occurrences, sizes = index or occurrences_of(nodes)
+    occurrences, sizes = index.tables() if index is not None else occurrences_of(nodes)
     found = matching_terms(occurrences.select("term").distinct(), asked.select("q").distinct(), prefix, stem)
     matched = occurrences.join(found, "term")
     tf = matched.groupBy("id", "q").agg(F.sum(F.when(F.col("col") == "name", NAME_WEIGHT).otherwise(1.0) * F.col("tf")).alias("tf"))
@@ -152,7 +159,7 @@ def fuse(signals: list[tuple[str, DataFrame, float]]) -> DataFrame:
 def hybrid_search(
     nodes: DataFrame, edges: DataFrame, queries: DataFrame, vector_weight: float = 0.5, keyword_weight: float = 0.3, graph_weight: float = 0.2,
     limit: int = 15, min_score: float = 0.2, seed_limit: int = 5, seed_score: float = 0.3, since: int | None = None, until: int | None = None,
-    index: tuple[DataFrame, DataFrame] | None = None,
+    index: InvertedIndex | None = None,
 ) -> DataFrame:
     """``(query_id, id, score, vector, keyword, graph, rank, near_miss, weight, degree)`` for queries ``(query_id, query, embedding)``.
 

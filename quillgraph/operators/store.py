@@ -3,67 +3,113 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph, lifecycle, retrieval
+from quillgraph.operators.inverted import InvertedIndex, Segment
 from quillgraph.operators.schema import EDGE_COLUMNS, NODE_COLUMNS, admit, conform, edge_defaults
-from quillgraph.plans.lineage import cut, exists
+from quillgraph.plans import commits
+from quillgraph.plans.lineage import remove
 
 
 @dataclass(frozen=True)
 class GraphStore:
-    """Immutable: every change returns a new store; ``save`` writes a snapshot folder of its own.
+    """Immutable: every change returns a new store; ``save`` writes the version that follows the one it was loaded from.
 
-    ``index`` is the inverted index of the nodes, once ``indexed`` has derived it; a change of nodes drops it.
+    ``index`` is the inverted index of the nodes, once ``indexed`` has made it; changes of nodes keep it in
+    step by a segment of what changed.
     """
 
     nodes: DataFrame
     edges: DataFrame
-    index: tuple[DataFrame, DataFrame] | None = None
+    index: InvertedIndex | None = None
+    version: int = 0
 
     @staticmethod
     def create(spark: SparkSession, path: str) -> GraphStore:
         """An empty store of the full schema, saved under ``path`` unless there is one already, which is then loaded."""
-        if exists(spark, f"{path}/snapshots"):
+        if commits.versions(spark, f"{path}/log"):
             return GraphStore.load(spark, path)
         columns = lambda of: ", ".join(f"{c} {t}" for c, t in of.items())
         store = GraphStore(spark.createDataFrame([], columns(NODE_COLUMNS)), spark.createDataFrame([], columns(EDGE_COLUMNS)))
-        store.save(path)
-        return store
+        try:
+            return store.save(path)
+        except commits.Conflict:  # somebody else made it meanwhile
+            return GraphStore.load(spark, path)
 
     def indexed(self) -> GraphStore:
-        """The store with its inverted index written, so that searches don't read all texts again."""
-        terms, sizes = retrieval.postings(self.nodes)
-        return replace(self, index=(cut(terms), cut(sizes)))
+        """The store with its inverted index, so that searches don't read all texts again."""
+        return replace(self, index=InvertedIndex.of(self.nodes))
 
     def index_in_step(self) -> DataFrame:
         """Whether the index has every node; without an index none is there."""
-        return retrieval.in_step(self.nodes, self.index[1] if self.index else self.nodes.select("id").limit(0))
+        return retrieval.in_step(self.nodes, self.index.docs() if self.index else self.nodes.select("id").limit(0))
+
+    def _indexed_with(self, changed: DataFrame | None = None, removed: DataFrame | None = None) -> InvertedIndex | None:
+        return self.index.changed(changed, removed) if self.index else None
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> GraphStore:
-        """The latest snapshot under ``path``, with edges whose ends are missing left out; older columns are filled with null."""
-        latest = spark.read.json(f"{path}/snapshots").orderBy(F.desc("n"), F.desc("name")).first()  # of two saved at once, the greater name
-        nodes = conform(spark.read.parquet(f"{path}/{latest['name']}/nodes"), NODE_COLUMNS)
-        edges = conform(spark.read.parquet(f"{path}/{latest['name']}/edges"), EDGE_COLUMNS)
-        return GraphStore(nodes, graph.valid_edges(edges, nodes).select(*EDGE_COLUMNS))
-
-    def save(self, path: str) -> str:
-        """Write a snapshot; it counts once its name is added, so a reader never sees half of one."""
+    def load(spark: SparkSession, path: str, version: int | None = None) -> GraphStore:
+        """A version under ``path``, the latest if none is named, with its index if it has one.
+
+        Edges whose ends are missing are left out; older tables' missing columns are null.
+        """
+        version = commits.versions(spark, f"{path}/log")[-1] if version is None else version
+        what = commits.entry(spark, f"{path}/log", version)
+        nodes = conform(spark.read.parquet(f"{path}/{what['name']}/nodes"), NODE_COLUMNS)
+        edges = conform(spark.read.parquet(f"{path}/{what['name']}/edges"), EDGE_COLUMNS)
+        index = InvertedIndex(tuple(Segment.read(spark, f"{path}/index", s) for s in what["segments"])) if what["segments"] else None
+        return GraphStore(nodes, graph.valid_edges(edges, nodes).select(*EDGE_COLUMNS), index, version)
+
+    def save(self, path: str) -> GraphStore:
+        """Write the next version, whole or not at all, and return it.
+
+        Tables go to folders of their own; the version counts once its log entry is there, which only one
+        writer can add. ``commits.Conflict`` says that another one has saved since this store was
+        loaded. Index segments that are there already are not written again.
+        """
         spark = self.nodes.sparkSession
+        if commits.versions(spark, f"{path}/log")[-1:] not in ([], [self.version]):
+            raise commits.Conflict(f"{path} has a later version than {self.version}")
         name = f"v-{uuid.uuid4().hex}"
         self.nodes.write.parquet(f"{path}/{name}/nodes")
         self.edges.write.parquet(f"{path}/{name}/edges")
-        n = spark.read.json(f"{path}/snapshots").agg(F.max("n")).first()[0] if exists(spark, f"{path}/snapshots") else 0
-        spark.createDataFrame([(n + 1, name)], "n long, name string").coalesce(1).write.mode("append").json(f"{path}/snapshots")
-        return name
+        index = self.index.save(f"{path}/index", lambda: f"s-{uuid.uuid4().hex}") if self.index else None
+        try:
+            version = commits.commit(spark, f"{path}/log", self.version, {"name": name, "segments": [s.name for s in index.segments] if index else []})
+        except commits.Conflict:
+            remove(spark, f"{path}/{name}")
+            raise
+        return GraphStore(conform(spark.read.parquet(f"{path}/{name}/nodes"), NODE_COLUMNS), conform(spark.read.parquet(f"{path}/{name}/edges"), EDGE_COLUMNS), index, version)
+
+    @staticmethod
+    def update(spark: SparkSession, path: str, change: Callable[[GraphStore], GraphStore], retries: int = 3, base_delay_ms: float = 100) -> GraphStore:
+        """Load, change and save; after a conflict again from the version that was saved meanwhile, a few times, waiting longer each time."""
+        return commits.retried(lambda: change(GraphStore.load(spark, path)).save(path), retries, base_delay_ms)
+
+    @staticmethod
+    def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+        """Remove the tables of all versions but the last ``keep``, and segments that none of these has; which versions are left."""
+        every = commits.versions(spark, f"{path}/log")
+        left, old = every[-keep:], every[:-keep]
+        needed = {s for v in left for s in commits.entry(spark, f"{path}/log", v)["segments"]}
+        for v in old:
+            what = commits.entry(spark, f"{path}/log", v)
+            for s in set(what["segments"]) - needed:
+                remove(spark, f"{path}/index/{s}")
+            remove(spark, f"{path}/{what['name']}")
+            remove(spark, f"{path}/log/{v:020d}.json")
+        return left
 
     def add_nodes(self, new: DataFrame, now_ms: int) -> tuple[GraphStore, DataFrame]:
         good, bad = admit(new, now_ms)
-        return replace(self, nodes=lifecycle.upsert_nodes(self.nodes, good), index=None), bad
+        nodes = lifecycle.upsert_nodes(self.nodes, good)
+        index = self._indexed_with(nodes.join(good.select("id").distinct(), "id", "left_semi")) if self.index else None
+        return replace(self, nodes=nodes, index=index), bad
 
     def add_edges(self, new: DataFrame, now_ms: int) -> tuple[GraphStore, DataFrame]:
         edges, bad = lifecycle.upsert_edges(self.edges, edge_defaults(new, now_ms), self.nodes)
@@ -74,7 +120,7 @@ class GraphStore:
 
     def remove(self, ids: DataFrame, now_ms: int) -> tuple[GraphStore, DataFrame]:
         nodes, archive, edges = lifecycle.remove(self.nodes, self.edges, ids, now_ms)
-        return GraphStore(nodes, edges), archive
+        return replace(self, nodes=nodes, edges=edges, index=self._indexed_with(removed=ids)), archive
 
     def boost(self, ids: DataFrame, now_ms: int, by: float = 0.2) -> GraphStore:
         return replace(self, nodes=lifecycle.boost(self.nodes, ids, now_ms, by))
@@ -138,7 +184,7 @@ class GraphStore:
         """The store after decay and pruning, the archive and counts by fate."""
         decayed = lifecycle.decay(self.nodes, self.edges, as_of_ms)
         nodes, archive, edges = lifecycle.prune(decayed, self.edges, as_of_ms)
-        return GraphStore(nodes, edges), archive, decayed.groupBy("fate").agg(F.count("*").alias("n"))
+        return replace(self, nodes=nodes, edges=edges, index=self._indexed_with(removed=archive)), archive, decayed.groupBy("fate").agg(F.count("*").alias("n"))
 
     def centrality(self) -> DataFrame:
         return graph.degree(self.nodes, self.edges).orderBy(F.desc("degree"), "id")
