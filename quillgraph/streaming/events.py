@@ -1,17 +1,9 @@
-"""Event streams: windowed counts with late data, access counters, search logs and a replay with state."""
+"""Event streams: windowed counts with late data, access counts and search logs."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quillgraph.operators import fold
-from quillgraph.plans.lineage import exists, remove
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -64,48 +56,3 @@ def log_searches(results: DataFrame, path: str, date: str) -> None:
     item = lambda miss: F.array_sort(F.collect_list(F.when(F.col("near_miss") == miss, F.struct("rank", "id", "score"))))
     rows = results.groupBy("query_id").agg(item(False).alias("top"), item(True).alias("near_misses")).withColumn("date", F.lit(date))
     rows.write.mode("append").partitionBy("date").json(path)
-
-
-def upsert_counts(spark: SparkSession, folder: str):
-    """A ``foreachBatch`` writer that merges access counts into a table of versions.
-
-    Each batch adds to the latest version before it and then writes its number to ``latest``; a batch
-    that is run again replaces its own version. Versions before the last two go.
-    """
-    pointers = f"{folder}/latest"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = [r["batch"] for r in session.read.schema("batch long").json(pointers).distinct().collect()] if exists(session, pointers) else []
-        earlier = sorted(b for b in known if b < batch_id)  # one number a batch
-        new = access_counts(batch)
-        if earlier:
-            new = new.unionByName(session.read.parquet(f"{folder}/{earlier[-1]}")).groupBy("user_id").agg(
-                F.sum("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"),
-                F.sum("helpful_count").alias("helpful_count"), F.sum("harmful_count").alias("harmful_count"),
-            )
-        new.write.mode("overwrite").parquet(f"{folder}/{batch_id}")
-        session.createDataFrame([(b,) for b in (*earlier[-1:], batch_id)], "batch long").coalesce(1).write.mode("overwrite").json(pointers)
-        for old in earlier[:-1]:
-            remove(session, f"{folder}/{old}")
-
-    return write
-
-
-def replay_stream(messages: DataFrame, threshold: int, strategy: str = "s5", model: str = "extractive", **options) -> DataFrame:
-    """Fold points as messages arrive; a session's buffer is its state between batches.
-
-    Messages of one batch are taken by ``idx``; the buffer never holds more than ``threshold`` tokens
-    and one message, save where a strategy leaves it unfolded.
-    """
-    run_fold, call = fold.STRATEGIES[strategy], fold.MODELS[model]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, turn = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values("idx")
-        new = [dict(zip(("role", "content", "tokens"), r, strict=True)) for r in rows[["role", "content", "tokens"]].itertuples(index=False)]
-        out = [(key[0], *p) for p in fold.replay_session(new, threshold, run_fold, call, (held, turn), **options)]
-        state.update((json.dumps(held, default=int), turn + len(new)))
-        yield pd.DataFrame(out, columns=["session_id", "turn", "before", "after", "tokens_in", "tokens_out"])
-
-    return messages.groupBy("session_id").applyInPandasWithState(run, fold.FOLD_SCHEMA, "buffer string, turn long", "append", GroupStateTimeout.NoTimeout)
