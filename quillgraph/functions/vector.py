@@ -45,11 +45,12 @@ def unit_rows(column: pa.Array, size: int) -> np.ndarray:
     return _matrix(column.to_pylist(), size)
 
 
-def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
+def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "id", vector: str = "embedding", query: str = "query_id", repeated: bool = False) -> DataFrame:
     """``(query, key, score)``: the exact ``k`` best of ``nodes`` for each query, cosine at least ``min_score``; ties by key.
 
     Queries travel to the rows in blocks of fixed size; a task sends on its own ``k`` best for each
-    query, so the shuffle does not grow with the nodes that a task holds.
+    query, so the shuffle does not grow with the nodes that a task holds. With ``repeated``, a key may
+    have any number of vectors, of which the best counts; a task sends each key once for a query.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -69,14 +70,28 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
                 by_size.setdefault(len(v or ()), []).append(i)
             asked = {n: (at, _matrix([rows[i][1] for i in at], n)) for n, at in by_size.items() if n}
             best: dict[int, list[tuple[float, object]]] = {}
+
+            def first(held: list[tuple[float, object]]) -> list[tuple[float, object]]:
+                held = sorted(held)
+                if repeated:
+                    seen = set()
+                    held = [h for h in held if not (h[1] in seen or seen.add(h[1]))]
+                return held[:k]
+
             for batch in batches:
                 for lo in range(0, batch.num_rows, ROW_BLOCK):
                     part = batch.slice(lo, ROW_BLOCK)
                     keys = part.column(0).to_pylist()
+                    if repeated:
+                        coded = part.column(0).dictionary_encode()
+                        keys, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
                     for n, (at, m) in asked.items():
                         scores = m @ unit_rows(part.column(1), n).T
                         for j, i in enumerate(at):
                             row = scores[j]
+                            if repeated:
+                                row = np.full(len(keys), -np.inf)
+                                np.maximum.at(row, codes, scores[j])
                             hit = np.flatnonzero(row >= min_score)
                             if len(hit) > k:
                                 edge = np.partition(row[hit], -k)[-k]
@@ -85,9 +100,8 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
                                 held = best.setdefault(i, [])
                                 held += [(-float(row[h]), keys[h]) for h in hit]
                                 if len(held) > 4 * k:
-                                    held.sort()
-                                    del held[k:]
-            out = [(rows[i][0], key_, -s) for i, held in best.items() for s, key_ in sorted(held)[:k]]
+                                    held[:] = first(held)
+            out = [(rows[i][0], key_, -s) for i, held in best.items() for s, key_ in first(held)]
             a, c, d = zip(*out, strict=True) if out else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a, to_arrow_type(q_type)), pa.array(c, to_arrow_type(k_type)), pa.array(d, pa.float64())], [query, key, "score"])
 
@@ -97,5 +111,7 @@ def top_k(nodes: DataFrame, queries: DataFrame, k: int, min_score: float, key: s
     found = parts[0]
     for more in parts[1:]:
         found = found.unionAll(more)
+    if repeated:
+        found = found.groupBy(query, key).agg(F.max("score").alias("score"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")

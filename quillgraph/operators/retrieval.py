@@ -44,9 +44,7 @@ def vector_search(
         return top_k(kept, queries, limit, min_score)
     owned = aliases.join(kept.select(F.col("id").alias("node_id")), "node_id", "left_semi")
     rows = kept.select("id", "embedding").unionAll(owned.select(F.col("node_id").alias("id"), "embedding"))
-    most = 1 + (owned.groupBy("node_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
-    found = top_k(rows, queries, limit * most, min_score)
-    return top(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), limit)
+    return top_k(rows, queries, limit, min_score, repeated=True)
 
 
 def tokens(text: Column) -> Column:
@@ -213,6 +211,13 @@ def relevance_note() -> Column:
     return F.when(F.max("score").isNull(), "none").when(F.max("score") < 0.3, "weak").otherwise("ok")
 
 
+def exact_duplicates(nodes: DataFrame, text: str) -> DataFrame:
+    """``(id, duplicate_of)``: nodes whose text an earlier id has; only digests are compared and shuffled."""
+    c = nodes.select("id", F.md5(text).alias("_digest"))
+    least = c.groupBy("_digest").agg(F.min("id").alias("duplicate_of"))
+    return c.join(least, "_digest").where("id <> duplicate_of").select("id", "duplicate_of")
+
+
 def name_duplicates(nodes: DataFrame) -> DataFrame:
     """``(id, duplicate_of)``: nodes whose normalised name an earlier id has."""
     named = nodes.select("id", normalise_name(F.col("name")).alias("norm")).where("norm <> ''")

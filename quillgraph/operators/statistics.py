@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.vector import unit_rows
 from quillgraph.plans.lineage import cut
 
+#: Bits of a hash by which a permutation's last row is looked for at a time, and rows among which it is then found by rank.
+STEP_BITS, EDGE_ROWS = 12, 1 << 16
+
 
 def pearson(x: str, y: str) -> Column:
     """Correlation over rows where both are there; 0 if either does not vary."""
@@ -143,34 +152,63 @@ def bootstrap_ci(df: DataFrame, value: str, by: list[str], key: str, reps: int =
 
 
 def permutation_test(df: DataFrame, value: str, group: str, a, b, key: str, reps: int = 200, seed: int = 42) -> DataFrame:
-    """``(difference, p, reps)``: two-sided test of the means of ``a`` and ``b``.
+    """``(difference, p, reps)``: two-sided test of the means of ``a`` and ``b`` by permutations.
 
-    In each replicate a row belongs to ``a`` with that group's share, by a hash of its key.
+    In each replicate as many rows as ``a`` has, those of the least hashes of their key, stand for ``a``.
+    Where that many end is found by the hash's leading bits, ``STEP_BITS`` at a time: counts and sums by
+    part, a few thousand rows a replicate, tell which part the last row lies in, and only that part is
+    looked at closer, row by row once it has ``EDGE_ROWS`` rows at most. Nothing is sorted as a whole.
+    Null values are left out; rows of one key and replicate are in order of their value.
     """
-    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("in_a"))
-    seen = rows.agg(F.avg(F.when(F.col("in_a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("in_a"), F.col("v"))).alias("mb"), F.avg(F.col("in_a").cast("double")).alias("share"))
-    u = uniform(F.col("k"), F.col("rep"), F.lit(seed))
-    each = rows.join(F.broadcast(seen)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("pa", u < F.col("share"))
-    draws = each.groupBy("rep").agg(
-        F.abs(F.avg(F.when(F.col("pa"), F.col("v"))) - F.avg(F.when(~F.col("pa"), F.col("v")))).alias("d"), F.first(F.col("ma") - F.col("mb")).alias("seen")
-    )
-    return draws.agg(F.first("seen").alias("difference"), ((F.count_if(F.col("d") >= F.abs("seen")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("reps"))
-
-
-def ranking_quality(results: DataFrame, relevant: DataFrame, by: list[str], k: int = 5) -> DataFrame:
+    rows = cut(df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("in_a")))
+    seen = rows.agg(F.count_if("in_a").alias("na"), F.count_if(~F.col("in_a")).alias("nb"), F.sum("v").alias("total"), F.avg(F.when(F.col("in_a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("in_a"), F.col("v"))).alias("mb"))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("k", "v", "rep", _hash60("k", "rep", seed).alias("h"))
+    edge = rows.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep")).join(F.broadcast(seen)).select("rep", F.lit(0).cast("long").alias("part"), F.col("na").alias("need"), F.lit(0.0).alias("got"), (F.col("na") + F.col("nb")).alias("rows"))
+    bits, edge = 0, cut(edge)
+    top = lambda n: F.shiftright("h", 60 - n) if n else F.lit(0).cast("long")
+    while bits < 60 and edge.agg(F.max("rows")).first()[0] > EDGE_ROWS:
+        inside = each.join(F.broadcast(edge.select("rep", "part", "need", "got")), "rep").where(top(bits) == F.col("part"))
+        bits += STEP_BITS
+        parts = inside.groupBy("rep", "need", "got", top(bits).alias("part")).agg(F.count("*").alias("rows"), F.sum("v").alias("s"))
+        before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        upto = parts.withColumns({"n": F.coalesce(F.sum("rows").over(before), F.lit(0)), "sb": F.coalesce(F.sum("s").over(before), F.lit(0.0))})
+        last = upto.where((F.col("n") < F.col("need")) & (F.col("n") + F.col("rows") >= F.col("need")))
+        edge = cut(last.select("rep", "part", (F.col("need") - F.col("n")).alias("need"), (F.col("got") + F.col("sb")).alias("got"), "rows"))
+    inside = each.join(F.broadcast(edge.select("rep", "part", "need")), "rep").where(top(bits) == F.col("part"))
+    first = inside.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("h", "k", "v"))).where(F.col("_n") <= F.col("need"))
+    sums = edge.select("rep", "got").join(first.groupBy("rep").agg(F.sum("v").alias("s")), "rep", "left").select((F.col("got") + F.coalesce("s", F.lit(0.0))).alias("sa"))
+    drawn = sums.join(F.broadcast(seen))
+    d = F.abs(F.try_divide("sa", "na") - F.try_divide(F.col("total") - F.col("sa"), F.col("nb")))
+    difference = F.col("ma") - F.col("mb")
+    return drawn.agg(F.first(difference).alias("difference"), ((F.count_if(d >= F.abs(difference) - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("reps"))
+
+
+def _hash60(key: str, rep: str, seed: int) -> Column:
+    """Fifteen digits of an MD5 of the key, the replicate and the seed."""
+    text = F.concat_ws(":", F.col(key), F.col(rep).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def ranking_quality(results: DataFrame, hit: Column, by: list[str], k: int = 5) -> DataFrame:
     """Mean reciprocal rank, at any depth and within ``k``, and queries with a hit in the first ``k``.
 
-    ``results`` has ``(query_id, id, rank)`` and the columns of ``by``; ``relevant`` has ``(query_id, id)``.
+    ``results`` has ``(query_id, rank)`` and the columns of ``by``; ``hit`` says of a row that it is relevant.
+    So relevance is looked at where a result is, and no table of all relevant pairs is made. A query
+    without results isn't there.
     """
-    hits = results.join(relevant.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy(*by, "query_id").agg(F.min("rank").alias("best"))
-    asked = results.select(*by, "query_id").distinct().join(hits, [*by, "query_id"], "left")
-    inside = F.col("best") <= k
-    return asked.groupBy(*by).agg(
+    best = results.groupBy(*by, "query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("best"))
+    inside = F.coalesce(F.col("best") <= k, F.lit(False))
+    return best.groupBy(*by).agg(
         F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("best")), F.lit(0.0))).alias("mrr"),
         F.avg(F.when(inside, 1.0 / F.col("best")).otherwise(0.0)).alias("mrr_at_k"), F.count_if(inside).alias("top_k"), F.count("*").alias("queries"),
     )
 
 
+def some_and_every(test: Column) -> list[Column]:
+    """Aggregates: whether ``test`` holds for some row and for every row of a group."""
+    return [F.bool_or(test).alias("some"), F.bool_and(test).alias("every")]
+
+
 def near_miss_table(log: DataFrame) -> DataFrame:
     """By node over a search log ``(query_id, id, near_miss)``: appearances, selections, near misses and their share."""
     miss = F.count_if("near_miss")
@@ -197,3 +235,40 @@ def mean_pairwise_distance(vectors: DataFrame, by: str, vector: str = "embedding
     total = sums.groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"))
     n = F.col("n")
     return total.select(by, "n", F.when(n > 1, 1 - (F.col("ss") - n) / (n * (n - 1))).alias("mean_distance"))
+
+
+def vendi_score(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """``(by, n, vendi)``: how many different vectors a group has in effect, from 1 (all alike) to ``n``.
+
+    The exponential of the entropy of the eigenvalues of the group's cosine matrix over ``n``. That
+    matrix shares them with the one of components by components, whose sums each task makes for its
+    rows; so what meets for a group are as many numbers as its vectors' length squared, however many
+    there are. Vectors of norm 0 and null ones are left out; the vectors of a group have one length.
+    """
+    kind = vectors.schema[by].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = batch.column(1).value_lengths().to_numpy(), batch.column(0).dictionary_encode()
+            codes = keys.indices.to_numpy(zero_copy_only=False)
+            for c in np.unique(codes).tolist():
+                at = np.flatnonzero(codes == c)
+                unit = unit_rows(batch.column(1).take(pa.array(at)), int(sizes[at].max()))
+                unit = unit[np.linalg.norm(unit, axis=1) > 0]
+                x, y = np.triu_indices(unit.shape[1])
+                gram = (unit.T @ unit)[x, y]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.dictionary.take(pa.array(np.full(len(x), c))), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(gram), pa.array(np.full(len(x), len(unit)))], [by, "i", "j", "s", "n"]
+                )
+
+    def spectrum(group: pd.DataFrame) -> pd.DataFrame:
+        size, n = int(group["i"].max()) + 1, int(group["n"].iloc[0])
+        gram = np.zeros((size, size))
+        gram[group["i"], group["j"]] = group["s"]
+        values = np.linalg.eigvalsh(gram + np.triu(gram, 1).T) / max(n, 1)
+        values = values[values > 1e-15]
+        return pd.DataFrame({by: group[by].iloc[:1], "n": [n], "vendi": [float(np.exp(-(values * np.log(values)).sum())) if n else None]})
+
+    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.col(by).isNotNull()).select(by, vector)
+    sums = rows.mapInArrow(partial, f"{by} {kind}, i int, j int, s double, n long").groupBy(by, "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.groupBy(by).applyInPandas(spectrum, f"{by} {kind}, n long, vendi double")

@@ -143,7 +143,7 @@ def enough_runs(s, d):
 def some_and_every(s, d):
     """By user: whether some event and whether every event is an error."""
     bad = F.col("event_type") == "error"
-    return V.table(s, d, "events").groupBy("user_id").agg(F.bool_or(bad).alias("some"), F.bool_and(bad).alias("every"))
+    return V.table(s, d, "events").groupBy("user_id").agg(*S.some_and_every(bad))
 
 
 def sessions_prefixed(s, d):
@@ -171,6 +171,11 @@ def packed_vectors(s, d):
     return back.select("id", F.size("embedding").alias("size"), R(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
+def vendi_score(s, d):
+    """How many different vectors each label has in effect."""
+    return S.vendi_score(V.vectors(s, d), "type").select("type", "n", R("vendi", 4).alias("vendi"))
+
+
 def mean_pairwise_distance(s, d):
     return S.mean_pairwise_distance(V.vectors(s, d), "type").select("type", "n", R("mean_distance").alias("mean_distance"))
 
@@ -226,10 +231,10 @@ QUERIES = {
         m AS (SELECT strategy, rep, sum(w * judge_score) / nullif(sum(w), 0) AS m FROM (SELECT *, CASE {_POISSON} ELSE 7 END AS w FROM u) GROUP BY strategy, rep)
         SELECT strategy, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(m) AS reps FROM m GROUP BY strategy"""),
     "permutation_test": (permutation_test, f"""{W}, r AS (SELECT event_id, judge_score AS v, strategy = 's3' AS in_a FROM runs WHERE strategy IN ('s3', 's9') AND judge_score IS NOT NULL),
-        k AS (SELECT avg(v) FILTER (in_a) - avg(v) FILTER (NOT in_a) AS seen, avg(CASE WHEN in_a THEN 1.0 ELSE 0.0 END) AS share FROM r),
-        e AS (SELECT rep, v, CAST('0x' || substr(md5(event_id || ':' || rep || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < share AS pa FROM r, k, (SELECT unnest(range(1, 101)) AS rep)),
+        k AS (SELECT avg(v) FILTER (in_a) - avg(v) FILTER (NOT in_a) AS seen, count(*) FILTER (in_a) AS na FROM r),
+        e AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY CAST('0x' || substr(md5(event_id || ':' || rep || ':42'), 1, 15) AS BIGINT), event_id) <= na AS pa FROM r, k, (SELECT unnest(range(1, 101)) AS rep)),
         x AS (SELECT rep, abs(avg(v) FILTER (pa) - avg(v) FILTER (NOT pa)) AS d FROM e GROUP BY rep)
-        SELECT round(any_value(seen), 6) AS difference, round((count(*) FILTER (d >= abs(seen)) + 1) / (count(*) + 1), 6) AS p, count(*) AS reps FROM x, k"""),
+        SELECT round(any_value(seen), 6) AS difference, round((count(*) FILTER (d >= abs(seen) - 1e-12) + 1) / (count(*) + 1), 6) AS p, count(*) AS reps FROM x, k"""),
     "enough_runs": (enough_runs, f"{W} SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(avg(judge_score), 6) END AS mean FROM runs GROUP BY user_id"),
     "some_and_every": (some_and_every, "SELECT user_id, bool_or(event_type = 'error') AS some, bool_and(event_type = 'error') AS every FROM events GROUP BY user_id"),
     "sessions_prefixed": (sessions_prefixed, "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM conversations WHERE CAST(conv_id AS VARCHAR) LIKE '1%' OR CAST(conv_id AS VARCHAR) LIKE '25%' GROUP BY 1"),
@@ -237,6 +242,7 @@ QUERIES = {
     "report_table": (report_table, """SELECT 0 AS n, 'n_nationkey  n_name' AS line UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey), rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || n_name FROM nation"""),
     "time_argument": (time_argument, f"SELECT event_type, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 >= {V.AS_OF_MS} - 3 * 86400000 GROUP BY 1"),
     "packed_vectors": (packed_vectors, "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings"),
+    "vendi_score": (vendi_score, None),
     "mean_pairwise_distance": (mean_pairwise_distance, f"""WITH {V.VECTORS_SQL}, k AS (SELECT type, count(*) AS n FROM vectors GROUP BY type)
         SELECT k.type, k.n, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS mean_distance FROM k JOIN vectors a ON a.type = k.type JOIN vectors b ON b.type = k.type AND a.id < b.id GROUP BY k.type, k.n"""),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions.porter import porter
 from quillgraph.functions.vector import cosine
-from quillgraph.operators import lifecycle, retrieval, similarity
+from quillgraph.operators import inverted, lifecycle, retrieval, similarity
 from quillgraph.operators import statistics as S
 from quillgraph.plans import views as V
 from quillgraph.plans.catalog_graph import ACTIVATION_SQL
@@ -55,6 +55,15 @@ def keyword_bm25_porter(s, d):
     return _keyword(s, d, stem=porter).select("query_id", "id", R("bm25").alias("bm25"), R("score").alias("score"))
 
 
+def keyword_index_deltas(s, d):
+    """Search by an index that was made of older texts, then told of new, changed and removed nodes."""
+    n = cut(V.text_nodes(s, d))
+    older = n.where("id % 5 <> 1").withColumn("content", F.when(F.col("id") % 3 == 0, F.concat(F.lit("older words "), "content")).otherwise(F.col("content")))
+    gone = n.limit(0).select("id", "name", "content").unionAll(n.where("id % 7 = 0").select(F.col("id") + 1000000000, "name", "content"))
+    index = inverted.InvertedIndex.of(older.select("id", "name", "content").unionAll(gone)).changed(n, gone.select("id"))
+    return index.search(V.text_queries(s, d), 10).select("query_id", "id", R("bm25").alias("bm25"))
+
+
 def postings_terms(s, d):
     index, _ = retrieval.postings(V.text_nodes(s, d))
     return index.groupBy("col", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -104,14 +113,15 @@ def feedback_weights(s, d):
 
 
 def retrieval_mrr(s, d):
+    """How soon another vector of a query's label comes up."""
     from pyspark.sql import Window
 
     v = V.vectors(s, d)
     found = retrieval.vector_search(v, _vector_queries(s, d), limit=11, min_score=-1.0).where("query_id <> id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).withColumn("setting", F.lit("vector"))
     kinds = v.select("id", "type")
-    relevant = _vector_queries(s, d).select("query_id").join(kinds.withColumnRenamed("id", "query_id"), "query_id").join(kinds, "type").select("query_id", "id")
-    out = S.ranking_quality(ranked, relevant, ["setting"])
+    typed = ranked.join(kinds, "id").join(kinds.select(F.col("id").alias("query_id"), F.col("type").alias("query_type")), "query_id")
+    out = S.ranking_quality(typed, F.col("type") == F.col("query_type"), ["setting"])
     return out.select("setting", R("mrr").alias("mrr"), R("mrr_at_k").alias("mrr_at_k"), "top_k", "queries")
 
 
@@ -129,8 +139,8 @@ def mrr_by_setting(s, d):
     each = F.array(*(F.struct(F.lit(name).alias("setting"), F.round(F.col("vector") * v + F.col("keyword") * k, 9).alias("score")) for name, (v, k) in SETTINGS.items()))
     scored = both.select("query_id", "id", F.explode(each).alias("s")).select("query_id", "id", "s.setting", "s.score").where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "id")))
-    relevant = kinds.join(n.select("id", F.col("type").alias("query_type")), "query_type").select("query_id", "id")
-    out = S.ranking_quality(ranked.join(kinds, "query_id"), relevant, ["setting", "query_type"])
+    typed = ranked.join(kinds, "query_id").join(n.select("id", "type"), "id")
+    out = S.ranking_quality(typed, F.col("type") == F.col("query_type"), ["setting", "query_type"])
     return out.select("setting", "query_type", R("mrr").alias("mrr"), R("mrr_at_k").alias("mrr_at_k"), "top_k", "queries")
 
 
@@ -143,7 +153,7 @@ def multi_phrasing(s, d):
 
 def search_end_to_end(s, d):
     """Phrasings of the benchmark's items, each with a hashed vector, over documents with hashed vectors."""
-    n = cut(models.embed(V.text_nodes(s, d).drop("embedding"), "name"))
+    n = cut(models.embed(V.text_nodes(s, d).drop("embedding"), "content"))
     q = V.text_queries(s, d).select("query_id", "query")
     return retrieval.search(n, cut(V.text_edges(s, d)), q, lambda df: models.embed(df, "query"), limit=5)
 
@@ -163,9 +173,7 @@ def relevance_note(s, d):
 
 
 def dedup_exact(s, d):
-    c = V.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("text"))
-    least = c.groupBy("text").agg(F.min("id").alias("duplicate_of"))
-    return c.join(least, "text").where("id <> duplicate_of").select("id", "duplicate_of")
+    return retrieval.exact_duplicates(V.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
 
 
 def dedup_fuzzy_name(s, d):
@@ -253,6 +261,7 @@ QUERIES = {
         b AS (SELECT query_id, e.id, max(list_cosine_similarity(q.v, e.v)) AS score FROM vq q, every e GROUP BY query_id, e.id HAVING max(list_cosine_similarity(q.v, e.v)) >= 0.3)
         SELECT query_id, id, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""),
     "keyword_bm25": (keyword_bm25, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(10)} SELECT query_id, id, round(bm25, 6) AS bm25 FROM keyword"),
+    "keyword_index_deltas": (keyword_index_deltas, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(10)} SELECT query_id, id, round(bm25, 6) AS bm25 FROM keyword"),
     "keyword_rescaled": (keyword_rescaled, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(5)} SELECT query_id, id, round(score, 6) AS score FROM keyword"),
     "keyword_prefix": (keyword_prefix, f"WITH {V.TEXT_NODES_SQL}, {V.TEXT_QUERIES_SQL}, {bm25_sql(5, 'starts_with(x.term, a.q)')} SELECT query_id, id, round(bm25, 6) AS bm25, round(score, 6) AS score FROM keyword"),
     "keyword_bm25_porter": (keyword_bm25_porter, None),
