@@ -256,16 +256,6 @@ def test_verified_groups(make, monkeypatch, big):
     assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
 
 
-def test_sketch_follows_similarity():
-    rng = np.random.default_rng(9)
-    pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-    for shared in (500, 800, 900):
-        a, b = pool[:shared], pool
-        differ = sum(int(x).bit_count() for x in (neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64))
-        assert abs(differ - neardup.SKETCH * (1 - shared / 1000) / 2) < 25
-    assert len(neardup.sketch(np.zeros(0, np.uint64))) == neardup.SKETCH // 64
-
-
 def test_block_edits_are_all_linked(make):
     """Blocks of new words put in, put after or taken out: groups are those of all pairs at 0.8 or more."""
     rng = random.Random(21)
