@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes of 64 bits are cut into m segments of about log2(N) bits, each with a table. A query probes
+Codes of 64 bits, or as many times 64 as vectors ask for, are cut into m segments of about log2(N) bits, each with a table. A query probes
 its segments at growing radii. Once radius r is done for a segments and r - 1 for the others, every
 code within m * r + a - 1 bits has been met (Norouzi et al., 2012), so a query whose k-th verified
 distance is no more than that is finished and drops out. Until then it only takes what its k-th
@@ -22,11 +22,15 @@ from quillgraph.plans.lineage import cut
 TOGETHER = 2
 
 
-def sign_code(vector: str) -> Column:
-    """Bit i is set if component i is above 0; null if the vector is. More than 64 components are an error."""
-    bits = F.transform(F.col(vector), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(vector) > 64, F.raise_error(F.lit("codes have 64 bits; a vector has more components")).cast("long")).otherwise(code)
+def sign_code(vector: str, words: int = 1) -> Column:
+    """Bit i is set if component i is above 0; null if the vector is. A struct of ``words`` longs of 64 bits, ``c0`` first."""
+
+    def word(n: int) -> Column:
+        part = F.slice(F.col(vector), 64 * n + 1, 64)
+        bits = F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    return F.when(F.col(vector).isNotNull(), F.struct(*(word(n).alias(f"c{n}") for n in range(words))))
 
 
 def _flipped(active: DataFrame, own: Column, width: int, radius: int) -> DataFrame:
@@ -51,32 +55,35 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
     Distances are Hamming distances of sign codes; ties go to the lesser key; a row is also among
     its own answers. Equal codes are searched once and hold at most ``k`` keys, so copies cost
     nothing. Rows without a vector are neither asked nor found; fewer than ``k`` rows give fewer
-    answers; rows that repeat are found each time; other columns are ignored.
+    answers; rows that repeat are found each time; a vector shorter than others has no bits where it ends;
+    other columns are ignored.
     """
-    coded = cut(rows.select(F.col(key).alias("key"), sign_code(vector).alias("code"), F.coalesce(queries, F.lit(False)).alias("asks")).where("code is not null"))
+    words = max(1, -(-(rows.agg(F.max(F.size(vector))).first()[0] or 1) // 64))
+    coded = cut(rows.select(F.col(key).alias("key"), sign_code(vector, words).alias("code"), F.coalesce(queries, F.lit(False)).alias("asks")).where("code is not null"))
     keys = cut(coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("key"))).where(F.col("n") <= k).select("code", "key", "n"))
     codes = keys.where("n = 1").select("code", F.col("key").alias("least"))
     size = codes.count()
-    segments = max(1, min(32, math.ceil(64 / max(2, math.floor(math.log2(max(size, 2)))))))
-    cuts = [(at, width) for at, width, _ in segments_of(0, segments)]
+    each = max(1, min(32, math.ceil(64 / max(2, math.floor(math.log2(max(size, 2)))))))
+    cuts = [(n, at, width) for n in range(words) for at, width, _ in segments_of(0, each)]
+    segments, most = len(cuts), 64 * words
 
-    def value(code: str, at: int, width: int) -> Column:
-        return F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << width) - 1))
+    def value(code: str, n: int, at: int, width: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"{code}.c{n}"), at).bitwiseAND(F.lit((1 << width) - 1))
 
     asked = coded.where("asks").select(F.col("code").alias("q")).distinct()
-    active, best = cut(asked.withColumn("bound", F.lit(64))), None
+    active, best = cut(asked.withColumn("bound", F.lit(most))), None
     steps = [[(s, r) for s in range(segments)] for r in range(TOGETHER + 1)]
-    steps += [[(s, r)] for r in range(TOGETHER + 1, max(w for _, w in cuts) + 1) for s in range(segments)]
+    steps += [[(s, r)] for r in range(TOGETHER + 1, max(w for _, _, w in cuts) + 1) for s in range(segments)]
     for step in steps:
         found = None
         for s in sorted({s for s, _ in step}):
-            at, width = cuts[s]
+            n, at, width = cuts[s]
             radii = [r for t, r in step if t == s and r <= width]
             if not radii:
                 continue
-            probes = reduce(DataFrame.unionAll, (_flipped(active, value("q", at, width), width, r) for r in radii))
-            index = codes.select("code", "least", value("code", at, width).alias("val"))
-            distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+            probes = reduce(DataFrame.unionAll, (_flipped(active, value("q", n, at, width), width, r) for r in radii))
+            index = codes.select("code", "least", value("code", n, at, width).alias("val"))
+            distance = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"q.c{w}").bitwiseXOR(F.col(f"code.c{w}"))) for w in range(words)))
             met = probes.join(index, "val").where(distance <= F.col("bound")).select("q", "code", "least", distance.alias("distance"))
             found = met if found is None else found.unionAll(met)
         if found is not None:
@@ -85,9 +92,9 @@ def search(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", v
         last_segment, radius = step[-1]
         covered = segments * radius + last_segment  # m * r + a - 1 with a = last_segment + 1
         kth = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        kth = kth.withColumn("bound", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(64))).select("q", "bound")
-        active = cut(active.select("q").join(kth, "q", "left").select("q", F.coalesce("bound", F.lit(64)).alias("bound")).where((F.col("bound") > covered)))
-        if covered >= 64 or active.isEmpty():
+        kth = kth.withColumn("bound", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(most))).select("q", "bound")
+        active = cut(active.select("q").join(kth, "q", "left").select("q", F.coalesce("bound", F.lit(most)).alias("bound")).where((F.col("bound") > covered)))
+        if covered >= most or active.isEmpty():
             break
     near = best.select("q", "code", "distance").join(keys, "code")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "key"))).where(F.col("rank") <= k)

@@ -204,10 +204,18 @@ def test_held_out_is_never_null(spark):
 # --- search -----------------------------------------------------------------------------------------------------------
 
 
-def test_vectors_over_64_components_are_refused(spark):
-    df = spark.createDataFrame([(0, [1.0] * 128), (50, [-1.0] * 128)], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception, match="more components"):
-        hamming.search(df, F.col("vec_id") % 50 == 0, 2).collect()
+def test_vectors_of_many_components(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(4, 150))
+    rows = [(i, [float(x) for x in (centre[i % 4] + rng.normal(size=150) * (i % 3) * 0.4)[: 150 if i % 9 else 100]]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    codes = {i: sum(1 << b for b, x in enumerate(v) if x > 0) for i, v in rows}
+    for q in (50,):
+        want = sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items())[:5]
+        got = hamming.search(df, F.col("vec_id") == q, 5).orderBy("rank").collect()
+        assert [(r["distance"], r["vec_id"]) for r in got] == want
 
 
 def test_flips_are_all_choices_of_bits(spark):
