@@ -43,7 +43,7 @@ def test_large_sources_are_cut_by_as_many_bits_as_they_ask_for(make, monkeypatch
     assert all(abs(taken[s] - t) <= 0.001 * t for s, t in target.items())
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.one_of(st.integers(1, 30), st.integers(1, 20000))), min_size=1, max_size=60))
 def test_any_sizes(make, sizes):
     check([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], make)
