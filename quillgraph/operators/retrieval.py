@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normalise_name, phrasings, query_tokens
 from quillgraph.functions.vector import top_k
-from quillgraph.operators.graph import demote_superseded, endpoints, spreading_activation
-from quillgraph.operators.similarity import similar_between
+from quillgraph.operators.graph import NearEdges, demote_superseded, endpoints, spreading_activation, touching
+from quillgraph.operators.similarity import best_between
 from quillgraph.plans.lineage import cut
 
 if TYPE_CHECKING:
@@ -155,7 +155,7 @@ def fuse(signals: list[tuple[str, DataFrame, float]]) -> DataFrame:
 
 
 def hybrid_search(
-    nodes: DataFrame, edges: DataFrame, queries: DataFrame, vector_weight: float = 0.5, keyword_weight: float = 0.3, graph_weight: float = 0.2,
+    nodes: DataFrame, edges: DataFrame | NearEdges, queries: DataFrame, vector_weight: float = 0.5, keyword_weight: float = 0.3, graph_weight: float = 0.2,
     limit: int = 15, min_score: float = 0.2, seed_limit: int = 5, seed_score: float = 0.3, since: int | None = None, until: int | None = None,
     index: InvertedIndex | None = None,
 ) -> DataFrame:
@@ -163,7 +163,8 @@ def hybrid_search(
 
     Each signal brings twice ``limit``; the graph signal spreads from the query's best vector hits.
     Ranks over ``limit``, half as many again, are near misses. Times filter after the merge. Every
-    hit comes with its node's weight and number of edges. ``index`` is as in ``keyword_search``.
+    hit comes with its node's weight and number of edges. ``index`` is as in ``keyword_search``. Of
+    ``NearEdges`` only those at seeds, at what they reach and at hits are sought.
     """
     vectors = cut(vector_search(nodes, queries, 2 * limit, min_score))
     seeds = top(vectors.where(F.col("score") >= seed_score), seed_limit)
@@ -181,11 +182,11 @@ def hybrid_search(
     return enriched(out.withColumn("near_miss", F.col("rank") > limit), nodes, edges)
 
 
-def enriched(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def enriched(hits: DataFrame, nodes: DataFrame, edges: DataFrame | NearEdges) -> DataFrame:
     """Adds the nodes' ``weight`` and ``degree``; only the edges of hits are counted."""
     hits = cut(hits)
     ids = hits.select("id").distinct()
-    counts = endpoints(edges).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    counts = endpoints(touching(edges, ids)).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
     known = nodes.select("id", "weight").join(ids, "id", "left_semi").join(counts, "id", "left")
     return hits.join(known.select("id", "weight", F.coalesce("degree", F.lit(0)).alias("degree")), "id", "left")
 
@@ -232,16 +233,20 @@ def dedup_decisions(new: DataFrame, known: DataFrame, skip: float = 0.97, warn:
     """
     exact = new.select("id").join(known.select("id"), "id").select("id", F.lit(0).alias("level"), F.lit("exact").alias("decision"), F.col("id").alias("matched"), F.lit(1.0).alias("score"))
     n = new.select("id", normalise_name(F.col("name")).alias("norm")).where("norm <> ''")
-    k = known.select(F.col("id").alias("other"), normalise_name(F.col("name")).alias("norm"))
-    name = n.join(k, "norm").where("id <> other").groupBy("id").agg(F.min("other").alias("matched")).select("id", F.lit(1).alias("level"), F.lit("name").alias("decision"), "matched", F.lit(1.0).alias("score"))
-    near = similar_between(new, known, warn).where("a <> b").groupBy(F.col("a").alias("id")).agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("m"))
+    k = known.select(F.col("id").alias("other"), normalise_name(F.col("name")).alias("norm")).where("norm <> ''")
+    first = k.groupBy("norm").agg(F.min("other").alias("first"))  # the two least ids of a name are enough
+    second = k.join(first, "norm").where("other <> first").groupBy("norm").agg(F.min("other").alias("second"))
+    name = n.join(first, "norm").join(second, "norm", "left").select("id", F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second")).alias("matched"))
+    name = name.where("matched is not null").groupBy("id").agg(F.min("matched").alias("matched")).select("id", F.lit(1).alias("level"), F.lit("name").alias("decision"), "matched", F.lit(1.0).alias("score"))
+    sooner = cut(exact.unionAll(name))
+    near = best_between(new.join(sooner.select("id"), "id", "left_anti"), known, warn).groupBy(F.col("a").alias("id")).agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("m"))
     near = near.select("id", F.lit(2).alias("level"), F.when(F.col("m.score") >= skip, "skip").otherwise("warn").alias("decision"), F.col("m.b").alias("matched"), "m.score")
-    found = exact.unionAll(name).unionAll(near).groupBy("id").agg(F.min_by(F.struct("decision", "matched", "score"), "level").alias("d"))
+    found = sooner.unionAll(near).groupBy("id").agg(F.min_by(F.struct("decision", "matched", "score"), "level").alias("d"))
     return new.select("id").join(found, "id", "left").select("id", F.coalesce("d.decision", F.lit("add")).alias("decision"), "d.matched", "d.score")
 
 
 def search(
-    nodes: DataFrame, edges: DataFrame, queries: DataFrame, embed, limit: int = 10, multi: bool = True, types: list | None = None,
+    nodes: DataFrame, edges: DataFrame | NearEdges, queries: DataFrame, embed, limit: int = 10, multi: bool = True, types: list | None = None,
     since: int | None = None, until: int | None = None, **weights,
 ) -> DataFrame:
     """End to end for ``(query_id, query)``: phrasings, hybrid search of each, best of them, demotion, filter, ranks.
