@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import tokens_ceil
+from quillgraph.operators.graph import NearEdges
 from quillgraph.operators.similarity import similar_pairs
+from quillgraph.plans.lineage import cut
 
 #: 1995-01-01, for rows without a time of their own; 2024-01-31, the time that decay queries run at.
 EPOCH_MS, AS_OF_MS = 788918400000, 1706659200000
@@ -136,10 +138,20 @@ TEXT_NODES_SQL = """text_nodes AS (
 
 def text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs relate; a document precedes the next of its source."""
+    near = similar_pairs(text_nodes(spark, sf_dir).select("id", "embedding"), 0.3)
+    return near.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("relates_to").alias("type"), F.col("score").alias("weight")).unionAll(text_order(spark, sf_dir))
+
+
+def near_text_edges(spark: SparkSession, sf_dir: str) -> NearEdges:
+    """``text_edges``, whose similar pairs are sought where they are asked for."""
+    return NearEdges(cut(text_nodes(spark, sf_dir).select("id", "embedding")), 0.3, cut(text_order(spark, sf_dir)))
+
+
+def text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document precedes the next of its source."""
     n = text_nodes(spark, sf_dir)
-    near = similar_pairs(n.select("id", "embedding"), 0.3).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("relates_to").alias("type"), F.col("score").alias("weight"))
     before = n.withColumn("prev", F.lag("id").over(Window.partitionBy("source").orderBy("id"))).where("prev is not null")
-    return near.unionAll(before.select(F.col("prev").alias("source"), F.col("id").alias("target"), F.lit("precedes").alias("type"), F.lit(1.0).alias("weight")))
+    return before.select(F.col("prev").alias("source"), F.col("id").alias("target"), F.lit("precedes").alias("type"), F.lit(1.0).alias("weight"))
 
 
 TEXT_EDGES_SQL = """text_edges AS (
