@@ -93,32 +93,33 @@ def links(distinct: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), value(at, width).alias("val")) for i, (at, width, _) in enumerate(cuts))))
     index = distinct.select("fp", rows.alias("s")).select("fp", "s.seg", "s.val")
     leaders = index.groupBy("seg", "val").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = cut(index.join(leaders, ["seg", "val"]).where(F.col("fp") != F.col("leader")).where(near("fp", "leader")).select("fp", "leader").distinct())
-    cluster = connected_components(stars, "fp", "leader").select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
-    labelled = cut(distinct.join(cluster, "fp", "left").select("fp", F.coalesce("cluster", "fp").alias("cluster")))
-
-    table = labelled.select("fp", "cluster", rows.alias("s")).select("fp", "cluster", "s.seg", "s.val")
-    big = (
-        table.groupBy("seg", "val", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= BIG)
-        .groupBy("seg", "val").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("big"))
-    )
-    balls = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(i).alias("seg"), value(at, width).bitwiseXOR(F.lit(mask).cast("long")).alias("val"))
-                for i, (at, width, radius) in enumerate(cuts)
-                for mask in _flips(width, radius)
+    with Scratch(distinct.sparkSession) as scratch:
+        stars = scratch.keep(index.join(leaders, ["seg", "val"]).where(F.col("fp") != F.col("leader")).where(near("fp", "leader")).select("fp", "leader").distinct())
+        cluster = connected_components(stars, "fp", "leader").select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
+        labelled = scratch.keep(distinct.join(cluster, "fp", "left").select("fp", F.coalesce("cluster", "fp").alias("cluster")))
+
+        table = labelled.select("fp", "cluster", rows.alias("s")).select("fp", "cluster", "s.seg", "s.val")
+        big = (
+            table.groupBy("seg", "val", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= BIG)
+            .groupBy("seg", "val").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("big"))
+        )
+        balls = F.explode(
+            F.array(
+                *(
+                    F.struct(F.lit(i).alias("seg"), value(at, width).bitwiseXOR(F.lit(mask).cast("long")).alias("val"))
+                    for i, (at, width, radius) in enumerate(cuts)
+                    for mask in _flips(width, radius)
+                )
             )
         )
-    )
-    probes = labelled.select("fp", "cluster", balls.alias("s")).select("fp", "cluster", "s.seg", "s.val")
-    tagged = table.join(big, ["seg", "val"], "left").select("seg", "val", F.col("fp").alias("b"), F.col("cluster").alias("to"), F.coalesce(F.col("cluster") == F.col("big"), F.lit(False)).alias("in_big"))
-    asked = probes.join(big, ["seg", "val"], "left").select(
-        "seg", "val", F.col("fp").alias("a"), F.col("cluster").alias("from"),
-        F.explode(F.when(F.col("big").isNull() | (F.col("cluster") == F.col("big")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_big"),
-    )
-    found = asked.join(tagged, ["seg", "val", "in_big"]).where(F.col("from") != F.col("to")).where(near("a", "b"))
-    return cut(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")).unionAll(found.select("a", "b").distinct()))
+        probes = labelled.select("fp", "cluster", balls.alias("s")).select("fp", "cluster", "s.seg", "s.val")
+        tagged = table.join(big, ["seg", "val"], "left").select("seg", "val", F.col("fp").alias("b"), F.col("cluster").alias("to"), F.coalesce(F.col("cluster") == F.col("big"), F.lit(False)).alias("in_big"))
+        asked = probes.join(big, ["seg", "val"], "left").select(
+            "seg", "val", F.col("fp").alias("a"), F.col("cluster").alias("from"),
+            F.explode(F.when(F.col("big").isNull() | (F.col("cluster") == F.col("big")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_big"),
+        )
+        found = asked.join(tagged, ["seg", "val", "in_big"]).where(F.col("from") != F.col("to")).where(near("a", "b"))
+        return cut(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")).unionAll(found.select("a", "b").distinct()))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, segments: int = 3, shingle: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
