@@ -1,9 +1,10 @@
 """Phrases whose words come together more often than their parts, from count tries of shards.
 
 A shard of texts is a trie of word runs, as deep as the longest phrase, built level by level in
-arrays: a node is its parent and a word, with a count. What shards send is merged by ranges of the
-first words; a walk over the merged trie meets every left part on the way down, and suffix links,
-one word less at the front, lead to the right parts.
+arrays: a node is its parent and a word, with a count. Shards send their nodes as numbers, 128 bits of
+hashes, which are merged level by level; the words of a frequent node are then sent by one document that
+has it. A walk over the merged trie, in ranges of paths, meets every left part on the way down, and
+suffix links, one word less at the front, lead to the right parts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ NO_LANG = "und"
 SHARD_BYTES = 1 << 23
 #: Bits of a filter for each key in it, and of a filter at most (16 MB): a fuller one only lets more rows through.
 BITS_A_KEY, MOST_BITS = 16, 1 << 27
+#: Bits for each key of the filter that says which document sends a node's words: every occurrence asks it.
+BITS_A_MARK = 64
+#: An odd number, other than ``BASE``, for the second half of a run's hash.
+SECOND = 0xD6E8FEB86659FD93
 #: Parts that the candidates of a language are dealt to before its best are taken.
 DEALT = 64
 
@@ -61,7 +66,10 @@ class Shard:
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(body)]).dictionary_encode()
         self.words, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed=seed) for w in self.words.to_pylist()], np.uint64)
+        names = self.words.to_pylist()
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed=seed) for w in names], np.uint64)
+        self.checks = np.array([xxhash.xxh3_64_intdigest(w, seed=seed) for w in names], np.uint64)
+        self.texts, self.starts = texts, starts
 
     def runs(self, n: int, keep: np.ndarray) -> np.ndarray:
         """Where runs of ``n`` words start that lie in one piece; ``keep`` says it of each run of one word less (at its start)."""
@@ -69,20 +77,26 @@ class Shard:
             return np.zeros(0, np.int64)
         return np.flatnonzero(keep[:-1] & keep[1:] & ~self.last[:-1])
 
-    def values(self, n: int) -> np.ndarray:
-        """A hash of the run of ``n`` words that starts at each place; meaningless over the end."""
-        own = self.hashes[self.ids]
+    def values(self, n: int, second: bool = False) -> np.ndarray:
+        """A hash of the run of ``n`` words that starts at each place, or the ``second`` half of it; meaningless over the end."""
+        own, base = (self.checks[self.ids], SECOND) if second else (self.hashes[self.ids], BASE)
         out = own
         for i in range(1, n):
             with np.errstate(over="ignore"):
-                out = out * np.uint64(BASE) + np.concatenate([own[i:], np.zeros(min(i, len(own)), np.uint64)])
+                out = out * np.uint64(base) + np.concatenate([own[i:], np.zeros(min(i, len(own)), np.uint64)])
         return mixed(out) if n > 1 else own
 
+    def origins(self, at: np.ndarray) -> np.ndarray:
+        """For words at the given places a hash of the text that each is in, which no way of dealing texts to shards changes."""
+        ends = np.cumsum([len(t) + 1 for t in self.texts])
+        return np.array([xxhash.xxh3_64_intdigest(t) for t in self.texts], np.uint64)[np.searchsorted(ends, self.starts[at], "right")]
+
     def nodes(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The trie's level ``n`` over the given starts: one start a node, and counts; children are keyed by parent and word."""
         size, key = len(self.words), self.ids[at]
         for i in range(1, n):
-            _, key = np.unique(key, return_inverse=True)
+            if i > 1:
+                _, key = np.unique(key, return_inverse=True)
             key = key * size + self.ids[at + i]
         _, first, count = np.unique(key, return_index=True, return_counts=True)
         return at[first], count
@@ -110,11 +124,6 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     yield from full()
 
 
-def _sums(keys: np.ndarray) -> pa.RecordBatch:
-    found, count = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
-
-
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tries' first level, ``(lang, w1, n)``."""
     for shard in shards(batches):
@@ -122,44 +131,72 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(count), pa.string()), shard.words.cast(pa.large_string()).cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "w1", "n"])
 
 
-def _frequent(shard: Shard, known: list[Maybe], n: int) -> np.ndarray:
-    """For each place, whether the run of ``n`` words that starts there may be frequent; only if its parts may be."""
+def _frequent(shard: Shard, known: list[Maybe], n: int) -> Iterator[np.ndarray]:
+    """For runs of 1 to ``n`` words, whether the one that starts at each place may be frequent; only if its parts may be."""
     keep = known[0].has(shard.hashes)[shard.ids] if len(shard.ids) else np.zeros(0, bool)
+    yield keep
     for k in range(2, n + 1):
         at = shard.runs(k, keep)
         keep = np.zeros(len(keep), bool)
         keep[at] = known[k - 1].has(shard.values(k)[at]) if k <= len(known) else True
-    return keep
+        yield keep
 
 
-def _hashed(known: list[Maybe], n: int) -> Callable:
+def _counted(known: list[Maybe], n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``(h, n)`` of the runs of ``n`` words whose parts may be frequent."""
+        """The tries' level ``n``, ``(h, g, mark, n)``, of runs whose parts may be frequent; ``mark`` is of the run and a text that has it."""
         for shard in shards(batches):
-            yield _sums(shard.values(n)[_frequent(shard, known, n)])
+            *_, keep = _frequent(shard, known, n)
+            at, count = shard.nodes(np.flatnonzero(keep), n)
+            h, g = shard.values(n)[at], shard.values(n, second=True)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, g, mixed(h ^ shard.origins(at)))] + [pa.array(count.astype(np.int64))], ["h", "g", "mark", "n"])
 
     return run
 
 
-def _paths(known: list[Maybe]) -> Callable:
+def _paths(known: list[Maybe], marks: Maybe) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tries from the second level on, ``(lang, w1, ..., n)``, in order of their paths' nodes."""
+        """Words of the tries' nodes from the second level on, ``(h, g, lang, w1, ...)``, from texts whose mark is asked for."""
         for shard in shards(batches):
             text = shard.words.cast(pa.large_string()).cast(pa.string())
-            for n in range(2, LONGEST + 1):
-                at, count = shard.nodes(np.flatnonzero(_frequent(shard, known, n)), n)
+            for n, keep in enumerate(_frequent(shard, known, LONGEST), 1):
+                if n == 1:
+                    continue
+                at, h = np.flatnonzero(keep), shard.values(n)
+                at, _ = shard.nodes(at[marks.has(mixed(h[at] ^ shard.origins(at)))], n)
                 path = [text.take(pa.array(shard.ids[at + i])) if i < n else pa.nulls(len(at), pa.string()) for i in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(at), pa.string()), *path, pa.array(count.astype(np.int64))], ["lang", *PATH, "n"])
+                keys = [pa.array(x[at].view(np.int64)) for x in (h, shard.values(n, second=True))]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([shard.lang] * len(at), pa.string()), *path], ["h", "g", "lang", *PATH])
 
     return run
 
 
-def _filter(keys: DataFrame) -> Maybe:
-    """A filter over ``h`` whose size follows the number of keys, up to ``MOST_BITS``."""
-    bits = 1 << 16
-    while bits < min(keys.count() * BITS_A_KEY, MOST_BITS):
+def _filter(keys: DataFrame, key: str = "h", bits_a_key: int = BITS_A_KEY) -> Maybe:
+    """A filter over ``key`` whose size follows the number of keys, up to ``MOST_BITS``."""
+    bits, wanted = 1 << 16, min(keys.count() * bits_a_key, MOST_BITS)
+    while bits < wanted:
         bits *= 2
-    return Maybe(keys, "h", hashed=True, bits=bits)
+    return Maybe(keys, key, hashed=True, bits=bits)
+
+
+def counted(rows: DataFrame, frequent: DataFrame, least: int, scratch: Scratch) -> tuple[list[Maybe], DataFrame]:
+    """Filters of the levels from the first on, and ``(h, g, mark, f)`` of the merged nodes from the second on.
+
+    ``rows`` are ``(lang, text)``, ``frequent`` the first level's nodes. ``mark`` is the least of those that shards sent.
+    """
+    known, merged = [_filter(frequent.select(F.xxhash64("lang", "w1").alias("h")))], None
+    for n in range(2, LONGEST + 1):
+        sent = rows.mapInArrow(_counted(known, n), "h long, g long, mark long, n long")
+        level = scratch.keep(sent.groupBy("h", "g").agg(F.sum("n").alias("f"), F.min("mark").alias("mark")).where(F.col("f") >= least))
+        known.append(_filter(level.select("h")))
+        merged = level if merged is None else merged.unionByName(level)
+    return known, merged
+
+
+def spelt(rows: DataFrame, known: list[Maybe], merged: DataFrame) -> DataFrame:
+    """``(h, g, lang, w1, ...)``: the words of merged nodes. Copies of a text each send them, and so do few others that the filter lets through."""
+    marks = _filter(merged.select("mark"), "mark", BITS_A_MARK)
+    return rows.mapInArrow(_paths(known, marks), ", ".join(["h long, g long", *(f"{c} string" for c in ("lang", *PATH))]))
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +223,6 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in lefts)], [*batch.schema.names, *(f"left{k}" for k in range(1, LONGEST))])
 
 
-def merged(tries: DataFrame, least: int = LEAST) -> DataFrame:
-    """Nodes ``(lang, w1, ..., f)`` that occur ``least`` times or more, from shards' sorted paths, merged by ranges of paths, in order.
-
-    A shard sends a path once, so no range has more rows of a path than there are shards.
-    """
-    keys = ["lang", *PATH]
-    ranged = tries.repartitionByRange(*keys)
-    return ranged.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).sortWithinPartitions(*keys)
-
-
 def _part(first: int, last: int) -> list[Column]:
     """Columns of the path that words ``first`` to ``last`` (from 1) of a path make."""
     return [(F.col(f"w{first + i}") if first + i <= last else F.lit(None).cast("string")).alias(w) for i, w in enumerate(PATH)]
@@ -263,7 +290,8 @@ def mine(docs: DataFrame, least: int = LEAST, best: int = BEST, text: str = "tex
 
     A phrase is frequent only if all its parts are, so a level is counted only over runs whose parts may
     be frequent: filters over hashes tell, whose size follows the number of keys up to 16 MB. They only
-    ever let too much through; what counts in the end are paths of words. Texts are read once a level.
+    ever let too much through. Runs are counted as 128 bits of hashes, and the words of one that is frequent
+    come from the texts of least mark. Texts are read once a level, and once for the words.
     Ranks are taken of the best rows of ``DEALT`` parts of a language.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).cast("string").alias("lang"), raw_text(text).alias("text"))
@@ -271,13 +299,10 @@ def mine(docs: DataFrame, least: int = LEAST, best: int = BEST, text: str = "tex
         words = scratch.keep(rows.mapInArrow(_words, "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("n")))
         total = words.groupBy("lang").agg(F.sum("n").alias("n"))
         frequent = words.where(F.col("n") >= least)
-        known = [_filter(frequent.select(F.xxhash64("lang", "w1").alias("h")))]
-        for n in range(2, LONGEST):
-            level = rows.mapInArrow(_hashed(known, n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            known.append(_filter(scratch.keep(level.select("h"))))
-        paths = ", ".join(f"{c} string" for c in ("lang", *PATH)) + ", n long"
-        tries = rows.mapInArrow(_paths(known), paths).unionByName(frequent, allowMissingColumns=True)
-        candidates = scratch.keep(scored(merged(scratch.keep(tries), least), scratch))
+        known, merged = counted(rows, frequent.select("lang", "w1"), least, scratch)
+        paths = spelt(rows, known, merged).dropDuplicates(["h", "g"]).join(merged.select("h", "g", "f"), ["h", "g"]).drop("h", "g")
+        trie = scratch.keep(paths.unionByName(frequent.withColumnRenamed("n", "f"), allowMissingColumns=True))
+        candidates = scratch.keep(scored(trie.repartitionByRange("lang", *PATH).sortWithinPartitions("lang", *PATH), scratch))
         left = uncovered(candidates).select("lang", F.concat_ws(" ", *PATH).alias("phrase"), "a", "l", "r", "score")
         order = [F.desc("score"), F.desc("a"), "phrase"]
         part = Window.partitionBy("lang", "_part").orderBy(*order)

@@ -87,3 +87,17 @@ def test_odd_rows(spark, make):
     for c in ("w1", "f", "n", "phrase", "k", "l"):
         extra = extra.withColumn(c, F.lit("clash"))
     assert got(phrases.mine(extra, least=2)) == plain([("en", t) for _, t, _ in ODD], 2, 2000)
+
+
+def test_words_of_a_path_are_sent_by_one_text_and_not_by_every_shard(spark):
+    docs = [("en", f"red fox of the x{i} x{i} hen. of the red fox") for i in range(400)]
+    rows = frame(spark, docs).repartition(8).selectExpr("lang", "cast(text as binary) as text")
+    with phrases.Scratch(spark) as scratch:
+        words = rows.mapInArrow(phrases._words, "lang string, w1 string, n long").groupBy("lang", "w1").sum("n").where("`sum(n)` >= 30")
+        known, merged = phrases.counted(rows, scratch.keep(words.select("lang", "w1")), 30, scratch)
+        sent = phrases.spelt(rows, known, merged).collect()
+        counts = {(r.h, r.g): r.f for r in merged.collect()}
+    want = {"red fox", "fox of", "of the", "the red", "red fox of", "fox of the", "of the red", "the red fox", "red fox of the", "of the red fox"}
+    found = {" ".join(w for w in r[3:] if w is not None): counts[r.h, r.g] for r in sent if (r.h, r.g) in counts}
+    assert set(found) == want and found["red fox"] == 800 and found["fox of the"] == 400
+    assert len(sent) < 2 * len(want)  # each of 8 shards has all of them
