@@ -11,7 +11,7 @@ from quillgraph.functions.text import normalise_name, phrasings, query_tokens
 from quillgraph.functions.vector import top_k
 from quillgraph.operators.graph import NearEdges, demote_superseded, endpoints, spreading_activation, touching
 from quillgraph.operators.similarity import best_between
-from quillgraph.plans.lineage import cut
+from quillgraph.plans.lineage import cut, kept
 
 if TYPE_CHECKING:
     from quillgraph.operators.inverted import InvertedIndex
@@ -104,17 +104,23 @@ def keyword_search(
     asked = asked.withColumn("q", F.explode(F.filter(F.split("q", "[^a-z0-9]+"), lambda t: t != ""))).distinct()
     if stem is not None:
         asked = asked.withColumn("q", stem(F.col("q"))).distinct()
-    asked = cut(asked)
+    asked = kept(asked)
     occurrences, sizes = index.tables() if index is not None else occurrences_of(nodes)
+    sizes = kept(sizes)  # read twice below
     found = matching_terms(occurrences.select("term").distinct(), asked.select("q").distinct(), prefix, stem)
+    if prefix or stem is not None:
+        found = kept(found)  # so that the join below knows how few words there are before it shuffles all
+        if index is None:
+            occurrences, _ = occurrences_of(nodes.repartition("id"))  # most words match, so texts are dealt and words counted where they are
     matched = occurrences.join(found, "term")
     tf = matched.groupBy("id", "q").agg(F.sum(F.when(F.col("col") == "name", NAME_WEIGHT).otherwise(1.0) * F.col("tf")).alias("tf"))
-    tf = cut(tf.join(sizes, "id"))  # what the words occur in, read twice below
-    df = tf.groupBy("q").agg(F.count("*").alias("df"))
+    tf = kept(tf.join(sizes, "id"))  # what the words occur in, read twice below
+    df = kept(tf.groupBy("q").agg(F.count("*").alias("df")))
     total = sizes.agg(F.count("*").alias("n"), F.avg(F.col("n_name") + F.col("n_content")).alias("avg"))  # one row
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("n_name") + F.col("n_content")) / F.col("avg")))
-    parts = tf.join(df, "q").join(F.broadcast(total)).select("id", "q", weight.alias("w"))
+    # dealt by document, so that a document's sums for all queries are made where its words are
+    parts = tf.repartition("id").join(df, "q").join(F.broadcast(total)).select("id", "q", weight.alias("w"))
     # rounded, so that the order of a distributed sum never decides between equal documents
     found = asked.join(parts, "q").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("bm25"))
     if types:
