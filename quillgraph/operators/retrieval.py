@@ -96,7 +96,8 @@ def keyword_search(
     ``score`` maps the ``limit`` best of a query to 0.3 to 0.9, 0.9 if they are all equal. ``stem``
     is a column function applied to both sides. ``types`` filters results, not statistics. With an
     ``index`` of the nodes only the ranges of postings are read that can bring a hit (``prefix`` and
-    ``stem`` read all of a word's); without it the texts are, and only the queries' words are shuffled.
+    ``stem`` read all of a word's); without it the texts are, and only the queries' words are shuffled
+    (for ``prefix`` and ``stem`` the texts, once), then their counts by document.
     """
     if index is not None and not prefix and stem is None:
         return index.search(queries, limit, types, nodes)
